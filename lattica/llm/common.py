@@ -1,69 +1,18 @@
-"""What the corpus operators share: words, written intermediate tables and Arrow batches."""
+"""What the corpus operators share: words and Arrow batches."""
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from lattica.tables import materialize, new_path, ready, release, shared_folder
+
+__all__ = ["WORDS", "id_text", "map_arrow", "materialize", "new_path", "pieces", "ready", "release", "shared_folder", "texts"]
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_WRITTEN: list[str] = []
-
-
-def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it; clusters ship it with --py-files."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and the session is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_folder(spark)}/lattica/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: computed once, kept when executors are lost.
-
-    Shuffle files that the write used are dropped as soon as it ends, so that a long plan holds the files of one step at a time.
-    """
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes all tables that materialize() wrote; frames that read them can't be used afterwards."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
