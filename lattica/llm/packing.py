@@ -6,9 +6,12 @@ grow with the corpus; documents are then dealt to the plan by their rank among p
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -207,24 +210,74 @@ def plan_table(groups: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
     return table[np.lexsort((table[:, 1], table[:, 0]))]
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Tokens:
+    """Ids of whole texts, from the library's own for each distinct piece.
+
+    The tokenizer lowers, splits and then merges within pieces only, so a text's ids are those of its pieces one after
+    another. Pieces are found here for texts of printable ASCII and Latin-1 letters, where lowering and the split's classes
+    can be said in a few ranges; any other text, and any that holds an added token, goes to the library whole.
+    """
 
-    return Tokenizer.from_file(path)
+    #: Distinct pieces whose ids are kept.
+    KEPT = 500_000
+    OTHER = re.compile(r"[^\x09-\x0d\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+    #: The file's split pattern with its classes written out for these characters, after lowering.
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\x09-\x0d a-z0-9\xdf-\xf6\xf8-\xff]+")
+    #: What the file must say for this to hold.
+    STEPS = [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [s for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for s in (spec.get(k) or {}).get(inner, [])]
+        self.by_piece = steps == self.STEPS and spec["model"]["type"] == "BPE" and not spec.get("truncation") and not spec.get("padding")
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces, one word each, encoded in one go: no merge reaches over a space."""
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            got = self.whole.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u4").tobytes()
+            ends = np.searchsorted(np.array(got.word_ids), np.arange(len(part)), side="right") * 4
+            starts = [0, *ends[:-1].tolist()]
+            self.known.update((p, ids[s:e]) for p, s, e in zip(part, starts, ends.tolist()))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [self.PIECE.findall(t.lower()) if self.by_piece and not self.OTHER.search(t) and not any(a in t for a in self.added) else None for t in texts]
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        self._learn(list(set(chain.from_iterable(s for s in split if s)) - self.known.keys()))
+        of = self.known.__getitem__
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if s is None else b"".join(map(of, s)) for t, s in zip(texts, split)]
+
+
+@lru_cache(maxsize=2)
+def _tokens(path: str) -> Tokens:
+    return Tokens(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int = 1) -> DataFrame:
     """One row per piece of at most `most` tokens: every document's ids, then end_id. Null text counts as empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tok = _tokenizer(tokenizer)
         cols: list[list[int]] = [[], [], [], [], []]
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, end_id], dtype="<u4")
-            for piece, start in enumerate(range(0, len(ids), most)):
-                part = ids[start : start + most]
-                for col, value in zip(cols, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()))):
+        end = np.array([end_id], dtype="<u4").tobytes()
+        own = _tokens(tokenizer).ids([t or "" for t in batch.column("text").to_pylist()])
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own):
+            ids += end
+            for piece, at in enumerate(range(0, len(ids), 4 * most)):
+                part = ids[at : at + 4 * most]
+                for col, value in zip(cols, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
                     col.append(value)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -82,3 +82,14 @@ def test_nnls_recovers_counts():
         for b in p[p >= 0]:
             fit[b] += x
     assert (got >= 0).all() and np.allclose(fit, bins, atol=1e-3)
+
+
+def test_ids_as_the_library(texts):
+    lib, own = Tokenizer.from_file(PATH), packing.Tokens(PATH)
+    assert own.by_piece
+    rng = random.Random(5)
+    odd = ["".join(rng.choice("abZ É'sStT0 1.,!-\n\tß÷×µªñÿŸΣσ中\u0301\x85\xa0\x1c") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    safe = ["".join(rng.choice("abZ É'slreLRE0 1.,!-\n\t\x0b\x0cßñÿÐþ~|<>") for _ in range(rng.randint(0, 60))) for _ in range(5000)]
+    odd += ["<|endoftext|> x", "a<|startoftext|>b", "it's we'LL DON'T ''s 's!'s", "...!?'", "12345"]
+    for text, got in zip(all_ := [*odd, *safe, *(t or "" for t in texts)], own.ids(all_)):
+        assert np.frombuffer(got, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
