@@ -126,7 +126,7 @@ def fixity_tree(spark: SparkSession, path: str, through: Callable[[bytes], bytes
     """Nodes (see NODES) of all files under path, in one written table: level 0 and up within files, below zero above them.
 
     A file's top node has level 100; groups of files are levels -1 and down to the root, named by leading digits.
-    through: what a file's bytes pass on the way, such as a faulty medium in a drill.
+    through: what a file's unpacked bytes pass on the way, such as a faulty medium in a drill.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -137,7 +137,7 @@ def fixity_tree(spark: SparkSession, path: str, through: Callable[[bytes], bytes
                 col.append(value)
 
         for file, raw in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist()):
-            levels = tree_of(_plain(through(raw) if through else raw))
+            levels = tree_of(through(_plain(raw)) if through else _plain(raw))
             for k, level in enumerate(levels):
                 for idx, (lo, hi, digest, own) in enumerate(level):
                     put(file, k, idx, lo, hi, digest, own)
@@ -149,60 +149,53 @@ def fixity_tree(spark: SparkSession, path: str, through: Callable[[bytes], bytes
     return materialize(map_arrow(_files(spark, path), run, NODES), "tree")
 
 
-def _above(files: DataFrame) -> list[DataFrame]:
-    """(grp, hash) of groups of files, from the root down, for each of DIGITS."""
+def _above(files: DataFrame) -> DataFrame:
+    """(digits, grp, up, hash) of groups of files for each of DIGITS, in one written table; up: the group above."""
     own = files.select(F.md5("grp").alias("name"), "grp", "hash")
-    out = []
-    for digits in reversed(DIGITS):
-        own = own.groupBy(F.substring("name", 1, digits).alias("grp")).agg(
-            F.min("name").alias("name"), F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("grp", F.hex("hash").alias("hash")))), lambda x: F.concat_ws(":", x["grp"], x["hash"]))).cast("binary"), 256).alias("hash")
-        )
-        own = own.withColumn("hash", F.unhex("hash"))
-        out.append(own.select("grp", "hash"))
-    return out[::-1]
+    levels = []
+    for k in range(len(DIGITS) - 1, -1, -1):
+        entries = F.transform(F.array_sort(F.collect_list(F.struct("grp", F.hex("hash").alias("hash")))), lambda x: F.concat_ws(":", x["grp"], x["hash"]))
+        own = own.groupBy(F.substring("name", 1, DIGITS[k]).alias("grp")).agg(F.min("name").alias("name"), F.unhex(F.sha2(F.concat_ws(",", entries).cast("binary"), 256)).alias("hash"))
+        levels.append(own.select(F.lit(DIGITS[k]).alias("digits"), "grp", F.substring("name", 1, DIGITS[max(0, k - 1)]).alias("up"), "hash"))
+    return materialize(reduce(DataFrame.unionByName, levels), "groups")
 
 
 def _differ(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys under which the replicas' hashes differ or only one has a node."""
-    return a.select(*keys, F.col("hash").alias("ha")).join(b.select(*keys, F.col("hash").alias("hb")), keys, "full").where(~F.col("ha").eqNullSafe(F.col("hb"))).select(*keys)
+    """Keys under which the replicas' hashes differ or only one has a node; written, so that plans stay short."""
+    both = a.select(*keys, F.col("hash").alias("ha")).join(b.select(*keys, F.col("hash").alias("hb")), keys, "full")
+    return materialize(both.where(~F.col("ha").eqNullSafe(F.col("hb"))).select(*keys), "differ")
 
 
 def mismatches(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """grp (file), idx of the records in which two trees differ, found from the roots down."""
     tops = [x.where("level = 100") for x in (a, b)]
+    above = [_above(x) for x in tops]
+    wrong = _differ(*(x.where("digits = 0") for x in above), ["grp"])
+    if not wrong.take(1):
+        return a.select("grp", "idx").where(F.lit(False))
+    for digits in DIGITS[1:]:
+        parents = wrong.select(F.col("grp").alias("up"))
+        wrong = _differ(*(x.where(F.col("digits") == digits).join(parents, "up", "left_semi") for x in above), ["grp"])
+    parents = wrong.select(F.col("grp").alias("up"))
+    wrong = _differ(*(x.withColumn("up", F.substring(F.md5("grp"), 1, DIGITS[-1])).join(parents, "up", "left_semi") for x in tops), ["grp"])
+    inside = [x.where("level < 100").join(wrong, "grp", "left_semi") for x in (a, b)]
+    heights = inside[0].unionByName(inside[1]).groupBy("grp").agg(F.max("level").alias("height"))
+    top = heights.agg(F.max("height")).first()[0]
+    if top is None:
+        return a.select("grp", "idx").where(F.lit(False))
+    heights = materialize(heights, "heights")
     wrong = None
-    for digits, x, y in zip(DIGITS, *map(_above, tops)):
-        if wrong is not None:
-            up = F.substring("grp", 1, DIGITS[DIGITS.index(digits) - 1])
-            x, y = (t.withColumn("up", up).join(wrong.select(F.col("grp").alias("up")), "up", "left_semi") for t in (x, y))
-        wrong = _differ(x, y, ["grp"])
-        if digits == 0 and not wrong.take(1):
-            return a.select("grp", "idx").where(F.lit(False))
-    up = F.substring(F.md5("grp"), 1, DIGITS[-1])
-    files = [t.withColumn("up", up).join(wrong.select(F.col("grp").alias("up")), "up", "left_semi") for t in tops]
-    wrong = materialize(_differ(*files, ["grp"]), "files")
-    inside = [t.where("level < 100").join(wrong, "grp", "left_semi") for t in (a, b)]
-    deepest = [r[0] for r in reduce(DataFrame.unionByName, (t.agg(F.max("level")) for t in inside)).collect()]
-    wrong = wrong.withColumn("idx", F.lit(0).cast("long"))
-    top = max((x for x in deepest if x is not None), default=0)
-    # trees of different height have no node in common above the lower one's top: all of those count as different
     for level in range(top, -1, -1):
-        x, y = (t.where(F.col("level") == level) for t in inside)
-        if level < top:
-            parents = wrong.select("grp", F.col("idx").alias("up"))
-            x, y = (t.withColumn("up", F.floor(F.col("idx") / fanout)).join(parents, ["grp", "up"], "left_semi") for t in (x, y))
-            lower = _differ(x, y, ["grp", "idx"])
-        else:
-            lower = _differ(x, y, ["grp", "idx"])
-        # files whose trees don't reach this level go on from their own top
-        tall = reduce(DataFrame.unionByName, (t.where(F.col("level") == level).select("grp") for t in inside)).distinct()
-        wrong = lower.unionByName(wrong.join(tall, "grp", "left_anti").select("grp", "idx"))
+        # a file is entered at the taller tree's top; where only one tree has a node, all below it differs
+        entered = heights.where(F.col("height") == level).select("grp", F.lit(0).cast("long").alias("up"))
+        parents = entered if wrong is None else entered.unionByName(wrong.select("grp", F.col("idx").alias("up")))
+        wrong = _differ(*(x.where(F.col("level") == level).withColumn("up", F.floor(F.col("idx") / fanout)).join(parents, ["grp", "up"], "left_semi") for x in inside), ["grp", "idx"])
     return wrong
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """Every record of both trees with its status: ok, corrupt (in b), missing (from b) or extra (in b). See AUDITED."""
-    wrong = materialize(mismatches(a, b), "wrong").withColumn("differs", F.lit(True))
+    wrong = mismatches(a, b).withColumn("differs", F.lit(True))
     leaves = [t.where("level = 0").select("grp", "idx", "lo", "hi", "hash", "record_id") for t in (a, b)]
     other = leaves[1].join(wrong, ["grp", "idx"], "left_semi").select("grp", "idx", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("hash").alias("hash_b"), F.col("record_id").alias("record_id_b"))
     rows = leaves[0].join(wrong, ["grp", "idx"], "left").join(other, ["grp", "idx"], "full")
@@ -231,7 +224,7 @@ def fixity_drill(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     spark = pages.sparkSession
     ready(spark)
     path = new_path(spark, "warc")
-    write_warc(pages, path, id_col, url_col, html_col)
+    write_warc(pages, path, id_col, url_col, html_col, "gzip")
     if not spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where(~F.col("path").rlike("/[_.][^/]*$")).take(1):
         return spark.createDataFrame([], AUDITED)
     return audit(fixity_tree(spark, path), fixity_tree(spark, path, bit_rot))
