@@ -79,11 +79,25 @@ class FmIndex:
         at = self.ranks.rank(np.concatenate([symbols, symbols]), np.concatenate([lo, hi])) + np.concatenate([self.less[symbols]] * 2)
         return at[:m], at[m:]
 
-    def repeated(self, which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _windows(self, starts: np.ndarray, width: int) -> np.ndarray:
+        """Whether each window occurs at least twice."""
+        out = np.zeros(len(starts), dtype=bool)
+        left = np.arange(len(starts))
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, dtype=np.int64)
+        for k in range(width - 1, -1, -1):
+            lo, hi = self.extend(self.text[starts[left] + k], lo, hi)
+            ok = hi - lo >= 2
+            left, lo, hi = left[ok], lo[ok], hi[ok]
+        out[left] = True
+        return out
+
+    def repeated(self, which: np.ndarray, width: int, steps: int = 160) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maximal intervals of sequences `which` in which every window of `width` symbols occurs at least twice in the index.
 
         Backward search keeps the longest match that ends at e and occurs twice. Where it breaks, at place p, a short
         unique sequence that starts at p is looked for: no repeated window holds it, so the search goes on from its end.
+        Sequences that break again and again, such as loops of a few words, aren't waited for: after `steps` steps the
+        windows they have left are searched all at once.
         Returns (position in which, first symbol, end) relative to the sequence's start.
         """
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -95,7 +109,9 @@ class FmIndex:
         p, lo, hi = e.copy(), np.zeros(len(e), np.int64), np.full(len(e), self.n, dtype=np.int64)
         broke = np.full(len(e), -1, dtype=np.int64)  # the place p that broke the match while a unique sequence is looked for
         span = np.zeros(len(e), dtype=np.int64)
-        while len(own):
+        for _ in range(steps):
+            if not len(own):
+                break
             nlo, nhi = self.extend(self.text[p - 1], lo, hi)
             ok = nhi - nlo >= 2
             p = np.where(ok, p - 1, p)
@@ -127,6 +143,16 @@ class FmIndex:
             if done.any():
                 go = ~done
                 own, first, e, p, lo, hi, broke, span = (x[go] for x in (own, first, e, p, lo, hi, broke, span))
+        for at in range(0, len(own), 256):
+            part = slice(at, at + 256)
+            counts = e[part] - first[part] - width + 1
+            of = np.repeat(np.arange(len(counts)), counts)
+            start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            hit = self._windows(first[part][of] + start, width)
+            # runs of hits within a sequence
+            fresh = np.flatnonzero(hit & ~(np.concatenate([[False], hit[:-1]]) & (start > 0)))
+            last = np.flatnonzero(hit & ~(np.concatenate([hit[1:], [False]]) & (np.concatenate([start[1:], [0]]) > 0)))
+            out.append((own[part][of[fresh]], start[fresh], start[last] + width))
         if not out:
             return tuple(np.zeros(0, np.int64) for _ in range(3))
         return tuple(np.concatenate(x) for x in zip(*out))

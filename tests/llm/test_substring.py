@@ -73,7 +73,8 @@ def test_fm_index():
         index = FmIndex(np.array([x for s in seqs for x in s]), np.array([len(s) for s in seqs]))
         seen = Counter(tuple(s[i : i + width]) for s in seqs for i in range(len(s) - width + 1))
         want = {(j, i) for j, s in enumerate(seqs) for i in range(len(s) - width + 1) if seen[tuple(s[i : i + width])] > 1}
-        assert {(j, i) for j, a, b in zip(*(x.tolist() for x in index.repeated(np.arange(len(seqs)), width))) for i in range(a, b - width + 1)} == want
+        for steps in (160, 5, 0):
+            assert {(j, i) for j, a, b in zip(*(x.tolist() for x in index.repeated(np.arange(len(seqs)), width, steps))) for i in range(a, b - width + 1)} == want
 
 
 def test_parts():
