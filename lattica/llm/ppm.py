@@ -141,17 +141,23 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Trees from at most SAMPLE_ROWS rows of each label, those with the least hash of their id.
 
-    Only rows count that aren't held out and have an id, a label and a text of at most SAMPLE_CHARS characters.
+    A label with very many rows is thinned by that hash before its rows are ranked, so no task gets more than a few times
+    SAMPLE_ROWS. Only rows count that aren't held out and have an id, a label and a text of at most SAMPLE_CHARS characters.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & (F.char_length("text") <= SAMPLE_CHARS))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
+    counts = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels")
+    # a hash below its label's mark comes first: about four times the rows wanted, whatever the table's size
+    marks = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * SAMPLE_ROWS / r["count"])) for r in counts], "lang string, share double")
+    rows = rows.join(F.broadcast(marks), "lang").where(F.xxhash64("doc_id") / float(1 << 63) < 2 * F.col("share") - 1)
+    rows = rows.where(F.char_length("text") <= SAMPLE_CHARS)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_ROWS)
     counted: dict[str, dict[bytes, int]] = {}
     for r in rows.select("lang", "text").toLocalIterator():
         own = counted.setdefault(r["lang"], {})
-        if len(counted) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} labels")
         for word in LETTERS.findall(r["text"].lower()):
             raw = word.encode()
             own[raw] = own.get(raw, 0) + 1
