@@ -112,8 +112,20 @@ class Model:
         each = self.bits[np.searchsorted(self.runs, own)][of]
         return np.add.reduceat(each, np.cumsum(sizes) - sizes, axis=0)
 
-    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, its share of the posterior under equal priors) of whole texts; und and 0 without letters or languages."""
+    def score(self, texts: list[str | None], most: int = 2_000_000) -> list[tuple[str, float]]:
+        """(language, its share of the posterior under equal priors) of whole texts; und and 0 without letters or languages.
+
+        Texts of about `most` characters together are taken apart at a time, however many come in.
+        """
+        out, at, held = [], 0, 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= most or i == len(texts) - 1:
+                out += self._score(texts[at : i + 1])
+                at, held = i + 1, 0
+        return out
+
+    def _score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         if not self.languages:
             return [("und", 0.0)] * len(texts)
