@@ -230,14 +230,11 @@ def anonymize(tokens: DataFrame, keys: Sequence[str], pos: str, value: str = "va
 
     For a pair of texts, let pos place all of the source before all of the target, and both share one map.
     """
-    kinds = tokens.withColumn("__kind", placeholder_kind(F.col(value), keep))
-    first = kinds.where("__kind is not null").groupBy(*keys, "__kind", value).agg(F.min(pos).alias("__first"))
+    # all of a chunk's tokens go to one task once; both windows below need no other shuffle
+    rows = tokens.withColumn("__kind", placeholder_kind(F.col(value), keep)).repartition(*keys)
+    rows = rows.withColumn("__first", F.min(pos).over(Window.partitionBy(*keys, "__kind", value)))
     rank = F.dense_rank().over(Window.partitionBy(*keys, "__kind").orderBy("__first")) - 1
-    names = first.select(*[F.col(c).alias(f"__n_{c}") for c in (*keys, "__kind", value)], F.concat("__kind", rank.cast("string")).alias("__name"))
-    same = F.lit(True)
-    for c in (*keys, "__kind", value):
-        same = same & F.col(c).eqNullSafe(F.col(f"__n_{c}"))
-    return kinds.join(names, same, "left").select(*tokens.columns, F.coalesce("__name", value).alias("placeholder"))
+    return rows.withColumn("placeholder", F.when(F.col("__kind").isNull(), F.col(value)).otherwise(F.concat("__kind", rank.cast("string")))).drop("__kind", "__first")
 
 
 def placeholder_map(anonymized: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
