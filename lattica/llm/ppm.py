@@ -22,7 +22,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 #: Languages at most; more labels than that are an error.
 LANGUAGES = 500
 #: Distinct words and byte runs that a worker keeps between batches.
-KEPT = 300_000
+KEPT = 120_000
 LETTERS = re.compile(r"[^\W\d_]+")
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
