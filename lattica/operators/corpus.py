@@ -213,15 +213,17 @@ GLUE = ("", " ", "\\n", "\\t", ", ", ": ", " = ", "=", " - ", " + ")
 
 def placeholder_kind(token: Column, keep: Sequence[str] = ()) -> Column:
     """ID, NUM, STR, CHR, or null for what stays: marks, keywords, _, 0, 1 and -1, glue, formats and interpolated strings."""
-    quoted = token.rlike(r'^"[\s\S]*"$')
+    inside = lambda mark: (F.char_length(token) > 1) & F.startswith(token, F.lit(mark)) & F.endswith(token, F.lit(mark))
+    quoted = inside('"')
     body = F.substring(token, F.lit(2), F.greatest(F.char_length(token) - 2, F.lit(0)))
     stays = quoted & (body.isin(*GLUE) | F.contains(body, F.lit("%")) | F.contains(body, F.lit("${")))
     return (
-        F.when(stays | token.isin("_", "0", "1", "-1", *keep), F.lit(None).cast("string"))
-        .when(quoted | token.rlike(r"^`[\s\S]*`$"), "STR")
-        .when(token.rlike(r"^'[\s\S]*'$"), "CHR")
-        .when(token.rlike(r"^-?\d+$|^-?\d*\.\d+([eE][+-]?\d+)?$"), "NUM")
+        F.when(token.isin("_", "0", "1", "-1", *keep), F.lit(None).cast("string"))
         .when(token.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), "ID")
+        .when(stays, F.lit(None).cast("string"))
+        .when(quoted | inside("`"), "STR")
+        .when(inside("'"), "CHR")
+        .when(token.rlike(r"^-?\d+$|^-?\d*\.\d+([eE][+-]?\d+)?$"), "NUM")
     )
 
 
