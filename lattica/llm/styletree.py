@@ -30,6 +30,8 @@ CUT, DECAY = 0.2, 0.9
 DEEPEST = 60
 #: Low-importance branches up to which the table is broadcast.
 BROADCAST_ROWS = 50_000
+#: What stands between the blocks of a page's text.
+BETWEEN = "\n\n"
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -255,11 +257,11 @@ def low_branches(pages: DataFrame) -> DataFrame:
 
 
 def main_text(source: str, branches: set[str], repeated: set[tuple[str, int]]) -> str:
-    """Blocks of a page that stay, one a line: those of its article if it has one, else all that aren't noise or low."""
+    """Blocks of a page that stay, joined by two line ends: those of its article if it has one, else all that aren't noise or low."""
     blocks, _ = parse(source)
     rest = [b for b in blocks if not b.node.noise]
     if any(b.node.main for b in rest):
-        return "\n".join(b.text for b in rest if b.node.main)
+        return BETWEEN.join(b.text for b in rest if b.node.main)
     cut: dict[str, bool] = {}
 
     def low(path: str) -> bool:
@@ -267,7 +269,7 @@ def main_text(source: str, branches: set[str], repeated: set[tuple[str, int]]) -
             cut[path] = path in branches or ("/" in path and low(path.rpartition("/")[0]))
         return cut[path]
 
-    return "\n".join(b.text for b in rest if not low(b.node.path) and (b.node.path, _hash(b.text)) not in repeated)
+    return BETWEEN.join(b.text for b in rest if not low(b.node.path) and (b.node.path, _hash(b.text)) not in repeated)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

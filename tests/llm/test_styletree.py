@@ -13,13 +13,13 @@ def test_noise_goes_and_blocks_stay():
       y</pre><form><label>Name</label><input></form></article>
     <section id="comments"><article class="comment"><p>First!</p></article></section></main>
     <aside>Side</aside><footer>Foot</footer></body></html>"""
-    assert text(page).split("\n") == ["Title & more", "One bold line of text", "Two é link", "a", "b", "c", "d", "x y"]
+    assert text(page).split("\n\n") == ["Title & more", "One bold line of text", "Two é link", "a", "b", "c", "d", "x y"]
 
 
 def test_odd_pages():
     assert text("") == "" and text("just text") == "just text" and text("a < b && c") == "a < b && c"
-    assert text("<p>one<p>two</div></p>three") == "one\ntwo\nthree"
-    assert text("<div><p>open <b>bold<div>next") == "open bold\nnext"
+    assert text("<p>one<p>two</div></p>three") == "one\n\ntwo\n\nthree"
+    assert text("<div><p>open <b>bold<div>next") == "open bold\n\nnext"
     assert text("<article><p>x<script>if (a<b) { '</p>' }") == "x"
     assert text("<!-- no end <p>x") == "" and text("<article>&lt;p&gt; &bogus; &#x41;</article>") == "<p> &bogus; A"
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
@@ -41,7 +41,7 @@ def test_site_statistics(spark):
         styletree.BROADCAST_ROWS = before
         assert all(got[i]["text"] == f"Story number {i} is about {i * i}." for i in range(20))
         assert got[None]["text"] == "Story number 77 is about 5929."
-        assert got[100]["text"].split("\n") == ["Welcome to our site", "Story number 0 is about 0.", "All rights reserved by us"]
+        assert got[100]["text"].split("\n\n") == ["Welcome to our site", "Story number 0 is about 0.", "All rights reserved by us"]
         assert (got[200]["text"], got[200]["n_chars"], got[201]["text"]) == ("", 0, "no url")
     assert styletree.extract(pages).count() == len(rows)
     assert styletree.extract(spark.createDataFrame([], pages.schema)).count() == 0
@@ -50,7 +50,7 @@ def test_site_statistics(spark):
 def test_articles_copied_on_one_host_keep_their_text(spark):
     rows = [(i, f"http://c.net/{i}", "<body><nav>Menu</nav><article><h1>Same</h1><p>Same story</p></article></body>") for i in range(30)]
     got = styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r["text"] for r in got} == {"Same\nSame story"}
+    assert {r["text"] for r in got} == {"Same\n\nSame story"}
 
 
 def test_composite():
