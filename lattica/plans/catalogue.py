@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattica.functions import collections as C, scalars as S
-from lattica.operators import corpus, graphs, joins, ordered, state, vectors
+from lattica.operators import corpus, graphs, joins, memory, ordered, scopes, state, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -469,6 +469,27 @@ def route_and_rewrite(read):
     return made.select("i", corpus.route(F.col("source")).alias("route"), corpus.rewrite(F.col("source")).alias("rewritten"), "target")
 
 
+@query(
+    "SELECT p_partkey, 'func f(a_param: Int64, b: Int64) {\nvar a = a_param a += ' || p_size || '; var i = b; while (i > 0) { i -= 1 \ni += 2\n} var i_2 = 0; var s = \"i\"; g(i_2, x.i) }' AS fixed FROM part"
+)
+def scope_fixes(read):
+    text = F.concat(F.lit("func f(a: Int64, b: Int64) { a += "), "p_size", F.lit('; var i = b; while (i > 0) {/*step: i += 2*/ i -= 1 } var i = 0; var s = "i"; g(i, x.i) }'))
+    return scopes.apply(read("part").select("p_partkey", text.alias("text")), "text").select("p_partkey", "fixed")
+
+
+@query(None)
+def associative_translation(read):
+    """Made-up pairs as memory, asked with pairs of another seed whose names have other numbers."""
+
+    def anonymous(n: int, seed: int, x: str, y: str) -> DataFrame:
+        one = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\bx\d+\b", x), r"\by\d+\b", y), r"\b\d+\b", "NUM0")
+        return corpus.made_up_pairs(read("region").sparkSession, n, seed).select("i", one(F.col("source")).alias("source"), one(F.col("target")).alias("target"))
+
+    known = anonymous(2000, 5, "ID0", "ID1").groupBy("source", "target").agg(F.min("i").alias("id"))
+    asked = anonymous(200, 6, "ID3", "ID4").select(F.col("i").alias("key"), F.col("source").alias("text"))
+    return memory.translate(asked, known).select("key", "answer", F.round("confidence", 6).alias("confidence"))
+
+
 @query(
     "SELECT count(*) AS cases, count(*) FILTER (o_totalprice > 50000) AS compiled, count(*) FILTER (o_totalprice > 150000) AS matched, CAST(sum(o_custkey) AS BIGINT) AS chunks, CAST(sum(o_custkey // 2) AS BIGINT) AS confident, round(sum(o_custkey // 2) / sum(o_custkey), 9) AS coverage, round(avg(0.4 * CAST(CASE WHEN o_custkey > 0 THEN (o_custkey // 2) / o_custkey ELSE 0 END AS DOUBLE) + CASE WHEN o_totalprice > 50000 THEN 0.4 ELSE 0 END + CASE WHEN o_totalprice > 150000 THEN 0.2 ELSE 0 END), 9) AS score, CAST(count(*) FILTER (NOT (o_totalprice > 50000 AND o_totalprice > 150000)) AS INTEGER) AS n_failing FROM orders"
 )
@@ -571,6 +592,26 @@ def relax_fixpoint(read):
     return graphs.relax(nodes, edges).select("node", "value")
 
 
+_NATION_EDGES = "e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation WHERE n_nationkey % 3 <> 0)"
+
+
+def _nation_edges(read) -> DataFrame:
+    return read("nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("dst"))
+
+
+@query(
+    f"WITH RECURSIVE {_NATION_EDGES}, s AS (SELECT n_nationkey AS start, n_nationkey * 7 % 25 AS i FROM nation WHERE n_nationkey % 4 <> 2), r AS (SELECT start, i, start AS node FROM s UNION SELECT r.start, r.i, e.dst FROM r JOIN e ON r.node = e.src), o AS (SELECT node, min(i) AS i FROM r GROUP BY 1) SELECT s.start, s.i, count(*) AS size FROM o JOIN s USING (i) GROUP BY 1, 2"
+)
+def grain_avalanches(read):
+    starts = read("nation").where("n_nationkey % 4 <> 2").select(F.col("n_nationkey").alias("node"), (F.col("n_nationkey") * 7 % 25).alias("i"))
+    return graphs.grains(starts, _nation_edges(read))
+
+
+@query(f"WITH RECURSIVE {_NATION_EDGES}, r AS (SELECT src AS start, src AS node FROM e UNION SELECT r.start, e.dst FROM r JOIN e ON r.node = e.src) SELECT start, count(*) AS size FROM r GROUP BY 1")
+def perturbation_sizes(read):
+    return graphs.perturbation(_nation_edges(read))
+
+
 @query(
     "WITH RECURSIVE t AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey < 3 THEN NULL ELSE n_nationkey // 3 END AS parent FROM nation), p AS (SELECT node, CAST(0 AS INTEGER) AS depth, CAST(node AS VARCHAR) AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.node, p.depth + 1, p.path || '/' || t.node FROM t JOIN p ON t.parent = p.node AND t.node <> p.node) SELECT node, depth, path FROM p"
 )
@@ -608,7 +649,9 @@ def ema_threshold(read):
     return state.controller(rows, ["user_id"], "event_id", "x").select("user_id", F.round("ema", 6).alias("ema"), F.round("threshold", 6).alias("threshold"))
 
 
-@query(None)
+@query(
+    "SELECT label, row_number() OVER (PARTITION BY label ORDER BY min(vec_id)) - 1 AS id, 't' || (vec_id % 20) AS source, 'a' || (vec_id % 20) AS target, count(*) AS wins FROM embeddings GROUP BY label, vec_id % 20"
+)
 def soinn_memory(read):
     rows = read("embeddings").select("label", "vec_id", F.concat(F.lit("t"), F.col("vec_id") % 20).alias("source"), F.concat(F.lit("a"), F.col("vec_id") % 20).alias("target"), "embedding")
     return state.soinn(rows, ["label"], "vec_id", "source", "target", "embedding").drop("neighbours")
