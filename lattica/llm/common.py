@@ -6,15 +6,26 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattica.tables import materialize, new_path, ready, release, shared_folder
+from lattica import tables
+from lattica.tables import materialize, new_path, release, shared_folder
 
 __all__ = ["WORDS", "id_text", "map_arrow", "materialize", "new_path", "pieces", "ready", "release", "shared_folder", "texts"]
 
+#: Texts in an Arrow batch, where the session has Spark's own number: a task holds a batch several times over.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def ready(spark: SparkSession) -> None:
+    """Lets Python workers import this package, and has them get BATCH_ROWS rows at a time unless the session says otherwise."""
+    tables.ready(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that text operators read, whatever else the table holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
