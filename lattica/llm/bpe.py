@@ -148,7 +148,7 @@ class Bpe:
         if len(self.known) > KEPT:
             self.known.clear()
         buckets: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces - self.known.keys():
+        for piece in [p for p in pieces if p not in self.known]:
             raw = piece.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 self.known[piece] = (rank,)

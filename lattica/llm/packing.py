@@ -256,7 +256,7 @@ class Tokens:
         split = [self.PIECE.findall(t.lower()) if self.by_piece and not self.OTHER.search(t) and not any(a in t for a in self.added) else None for t in texts]
         if len(self.known) > self.KEPT:
             self.known.clear()
-        self._learn(list(set(chain.from_iterable(s for s in split if s)) - self.known.keys()))
+        self._learn([p for p in set(chain.from_iterable(s for s in split if s)) if p not in self.known])
         of = self.known.__getitem__
         return [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if s is None else b"".join(map(of, s)) for t, s in zip(texts, split)]
 

@@ -131,7 +131,7 @@ class Model:
             return [("und", 0.0)] * len(texts)
         if len(self.words) > KEPT:
             self.words, self.lengths = {}, self.lengths[:0]
-        new = list({w for f in found for w in f} - self.words.keys())
+        new = [w for w in {w for f in found for w in f} if w not in self.words]
         if new:
             self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
             self.lengths = np.concatenate([self.lengths.reshape(-1, len(self.trees)), self._word_bits(new)])
