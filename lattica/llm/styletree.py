@@ -4,8 +4,8 @@ Pages of one host are merged by style path: the chain of elements (tag, classes,
 host's pages give a presentation importance (entropy of the sequences of children that it is used with) and for each
 of its texts a content importance (one less the entropy of the pages that repeat it). A branch whose composite
 importance is low on its host is cut from each page. What an element says about itself is weighed in first: elements
-and names that mark navigation, notices and the like have no importance, and the main article isn't judged by
-repetition, so that copied pages on one host don't lose their text.
+and names that mark navigation, notices and the like have no importance, and what is inside a main article has some
+from the start. Copies of a page on one host are counted once, so that copied pages don't lose their text.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .urlfilter import host_of
 LEAST_PAGES = 8
 #: Importance at or below which a branch is cut; how fast the weight moves from a node to what is below it.
 CUT, DECAY = 0.2, 0.9
+#: Share of the importance that a branch or text inside a main article has, however often it is repeated.
+MAIN_PRIOR = 0.1
 #: Elements in a style path; deeper ones count as part of the one above.
 DEEPEST = 60
 #: Low-importance branches up to which the table is broadcast.
@@ -186,23 +188,35 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
+def _page_key(blocks: list[Block]) -> int:
+    """The same for copies of a page: a hash of its main article if that is half of the text that isn't noise, else of all of that."""
+    rest = [b for b in blocks if not b.node.noise]
+    main = [b for b in rest if b.node.main]
+    own = main if 2 * sum(len(b.text) for b in main) >= sum(len(b.text) for b in rest) else rest
+    return _hash("\n".join(b.text for b in own))
+
+
 def _features(pages: DataFrame) -> DataFrame:
-    """A row per page and distinct (style path, kind, feature): P for a sequence of children, C for a text."""
+    """A row per page and distinct (style path, kind, feature): P for a sequence of children, C for a text; page is equal for copies."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, paths, kinds, feats = [], [], [], []
+        hosts, keys, paths, kinds, feats, mains = [], [], [], [], [], []
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             blocks, nodes = parse(source or "")
-            own = {(n.path, "P", _hash(" ".join(n.children))) for n in nodes if not n.noise and not n.main}
-            own |= {(b.node.path, "C", _hash(b.text)) for b in blocks if not b.node.noise and not b.node.main}
-            for path, kind, feat in own:
+            key = _page_key(blocks)
+            own = {(n.path, "P", _hash(" ".join(n.children))): n.main for n in nodes if not n.noise}
+            own |= {(b.node.path, "C", _hash(b.text)): b.node.main for b in blocks if not b.node.noise}
+            for (path, kind, feat), main in own.items():
                 hosts.append(host)
+                keys.append(key)
                 paths.append(path)
                 kinds.append(kind)
                 feats.append(feat)
-        return pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.string()), pa.array(feats, pa.int64())], ["host", "path", "kind", "feat"])
+                mains.append(main)
+        cols = (hosts, pa.string()), (keys, pa.int64()), (paths, pa.string()), (kinds, pa.string()), (feats, pa.int64()), (mains, pa.bool_())
+        return pa.record_batch([pa.array(c, k) for c, k in cols], ["host", "page", "path", "kind", "feat", "main"])
 
-    return map_arrow(pages, run, "host string, path string, kind string, feat long")
+    return map_arrow(pages, run, "host string, page long, path string, kind string, feat long, main boolean")
 
 
 def composite(nodes: dict[str, tuple[float | None, float | None]]) -> dict[str, float]:
@@ -228,9 +242,16 @@ def composite(nodes: dict[str, tuple[float | None, float | None]]) -> dict[str,
     return out
 
 
+def with_prior(value, main: bool):
+    """An importance (number or column), weighed with what a main article has from the start."""
+    return MAIN_PRIOR + (1 - MAIN_PRIOR) * value if main else value
+
+
 def low_branches(pages: DataFrame) -> DataFrame:
     """host, path, feat: branches of each host's style tree that aren't important; feat null for a whole branch."""
-    counts = _features(pages).groupBy("host", "path", "kind", "feat").agg(F.count("*").alias("n"))
+    keys = ["host", "path", "kind", "feat"]
+    once = _features(pages).groupBy("page", *keys).agg(F.max("main").alias("main"))
+    counts = once.groupBy(*keys).agg(F.count("*").alias("n"), F.max("main").alias("main"))
     counts = materialize(counts, "styles")
     n_pages = counts.where("path = '' and kind = 'P'").groupBy("host").agg(F.sum("n").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     counts = counts.join(n_pages, "host")
@@ -239,29 +260,29 @@ def low_branches(pages: DataFrame) -> DataFrame:
     share = F.col("n") / F.col("m")
     shown = F.sum(F.when(F.col("kind") == "P", -share * F.log(share) / F.log("m")))
     said = F.avg(F.when(F.col("kind") == "C", 1 - F.log("n") / F.log("m")))
-    own = counts.groupBy("host", "path").agg(shown.alias("shown"), said.alias("said"))
+    own = counts.groupBy("host", "path").agg(shown.alias("shown"), said.alias("said"), F.max("main").alias("main"))
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, paths = [], []
         for host, styles in zip(batch.column("host").to_pylist(), batch.column("styles").to_pylist()):
+            main = {s["path"] for s in styles if s["main"]}
             for path, value in composite({s["path"]: (s["shown"], s["said"]) for s in styles}).items():
-                if value <= CUT and path.count("/") > 2:  # the page and its body always stay
+                if with_prior(value, path in main) <= CUT and path.count("/") > 2:  # the page and its body always stay
                     hosts.append(host)
                     paths.append(path)
         return pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
 
     # a host's distinct style paths, not its pages
-    branches = map_arrow(own.groupBy("host").agg(F.collect_list(F.struct("path", "shown", "said")).alias("styles")), judge, "host string, path string")
-    repeated = counts.where((F.col("kind") == "C") & (1 - F.log("n") / F.log("m") <= CUT)).select("host", "path", "feat")
+    branches = map_arrow(own.groupBy("host").agg(F.collect_list(F.struct("path", "shown", "said", "main")).alias("styles")), judge, "host string, path string")
+    alone = 1 - F.log("n") / F.log("m")
+    repeated = counts.where((F.col("kind") == "C") & (F.when(F.col("main"), with_prior(alone, True)).otherwise(alone) <= CUT)).select("host", "path", "feat")
     return branches.select("host", "path", F.lit(None).cast("long").alias("feat")).unionByName(repeated)
 
 
 def main_text(source: str, branches: set[str], repeated: set[tuple[str, int]]) -> str:
-    """Blocks of a page that stay, joined by two line ends: those of its article if it has one, else all that aren't noise or low."""
+    """Blocks of a page that stay, joined by two line ends: all that aren't noise, low or repeated, in its article or outside."""
     blocks, _ = parse(source)
     rest = [b for b in blocks if not b.node.noise]
-    if any(b.node.main for b in rest):
-        return BETWEEN.join(b.text for b in rest if b.node.main)
     cut: dict[str, bool] = {}
 
     def low(path: str) -> bool:

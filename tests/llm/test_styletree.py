@@ -53,6 +53,23 @@ def test_articles_copied_on_one_host_keep_their_text(spark):
     assert {r["text"] for r in got} == {"Same\n\nSame story"}
 
 
+def test_articles_are_judged_by_the_tree_too(spark):
+    def odd(i, article):
+        return f"<body><div class='top'><div class='line'>Welcome to us</div></div>{article}<div class='rest'><p>The rest of story {i} told.</p></div></body>"
+
+    teaser = "<article><p>Read our other story</p></article>"
+    split = "<article><p>Start of story {0} with words that are {0} times its own.</p><div class='x'><p>Follow us for more</p></div></article>"
+    rows = [(i, f"http://teaser.net/{i}", odd(i, teaser)) for i in range(20)]
+    rows += [(100 + i, f"http://split.net/{i}", odd(i, split.format(i))) for i in range(20)]
+    # copies of one article, next to other words on each page
+    rows += [(200 + i, f"http://copies.net/{i}", f"<body><article><h1>Same</h1><p>Same long story everywhere.</p></article><div class='d'><p>Seen {i}</p></div></body>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == f"The rest of story {i} told."
+        assert got[100 + i] == f"Start of story {i} with words that are {i} times its own.\n\nThe rest of story {i} told."
+        assert got[200 + i].startswith("Same\n\nSame long story everywhere.")
+
+
 def test_composite():
     out = styletree.composite({"": (0.0, None), "/a": (1.0, None), "/a/b": (None, 0.0), "/a/c": (None, 1.0), "/d": (None, 0.1)})
     assert out["/a/b"] == 0 and out["/a/c"] == 1 and abs(out["/a"] - 0.55) < 1e-9 and abs(out[""] - 0.9 * (0.55 + 0.1) / 2) < 1e-9
