@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_arrow, materialize, ready
 from .urlfilter import host_of
 
-#: Pages of a host below which repetition says nothing.
-LEAST_PAGES = 8
 #: Importance at or below which a branch is cut; how fast the weight moves from a node to what is below it.
 CUT, DECAY = 0.2, 0.9
 #: Share of the importance that a branch or text inside a main article has, however often it is repeated.
@@ -253,14 +251,13 @@ def low_branches(pages: DataFrame) -> DataFrame:
     once = _features(pages).groupBy("page", *keys).agg(F.max("main").alias("main"))
     counts = once.groupBy(*keys).agg(F.count("*").alias("n"), F.max("main").alias("main"))
     counts = materialize(counts, "styles")
-    n_pages = counts.where("path = '' and kind = 'P'").groupBy("host").agg(F.sum("n").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    counts = counts.join(n_pages, "host")
-    uses = counts.where("kind = 'P'").groupBy("host", "path").agg(F.sum("n").alias("m"))
-    counts = counts.join(uses, ["host", "path"]).where(F.col("m") >= LEAST_PAGES)
-    share = F.col("n") / F.col("m")
-    shown = F.sum(F.when(F.col("kind") == "P", -share * F.log(share) / F.log("m")))
-    said = F.avg(F.when(F.col("kind") == "C", 1 - F.log("n") / F.log("m")))
-    own = counts.groupBy("host", "path").agg(shown.alias("shown"), said.alias("said"), F.max("main").alias("main"))
+    # one use more than counted, which repeats nothing: few uses say little, and what has a single one is important
+    most = F.log(F.col("m") + 1)
+    shown = 1 - F.col("same") / F.col("m") / most
+    said = 1 - F.col("repeats") / most
+    uses, log_n = F.when(F.col("kind") == "P", F.col("n")), F.log("n")
+    own = counts.groupBy("host", "path").agg(F.sum(uses).alias("m"), F.sum(uses * log_n).alias("same"), F.avg(F.when(F.col("kind") == "C", log_n)).alias("repeats"), F.max("main").alias("main"))
+    own = own.where(F.col("m") >= 2).select("host", "path", "m", shown.alias("shown"), said.alias("said"), "main")
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, paths = [], []
@@ -274,8 +271,9 @@ def low_branches(pages: DataFrame) -> DataFrame:
 
     # a host's distinct style paths, not its pages
     branches = map_arrow(own.groupBy("host").agg(F.collect_list(F.struct("path", "shown", "said", "main")).alias("styles")), judge, "host string, path string")
-    alone = 1 - F.log("n") / F.log("m")
-    repeated = counts.where((F.col("kind") == "C") & (F.when(F.col("main"), with_prior(alone, True)).otherwise(alone) <= CUT)).select("host", "path", "feat")
+    alone = 1 - log_n / most
+    repeated = counts.where("kind = 'C' and n > 1").join(own.select("host", "path", "m"), ["host", "path"])
+    repeated = repeated.where(F.when(F.col("main"), with_prior(alone, True)).otherwise(alone) <= CUT).select("host", "path", "feat")
     return branches.select("host", "path", F.lit(None).cast("long").alias("feat")).unionByName(repeated)
 
 
@@ -296,8 +294,8 @@ def main_text(source: str, branches: set[str], repeated: set[tuple[str, int]]) -
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
-    Null html is empty and gives an empty text; pages without a host share the host ''. A host with fewer than LEAST_PAGES pages has no
-    statistics: its pages keep all blocks that don't mark themselves as noise. Repeated rows come back as often; an
+    Null html is empty and gives an empty text; pages without a host share the host ''. Every host and
+    style path with two uses has statistics; what all pages of a host say goes from four different pages on, or five in an article. Repeated rows come back as often; an
     empty table gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession

@@ -70,6 +70,18 @@ def test_articles_are_judged_by_the_tree_too(spark):
         assert got[200 + i].startswith("Same\n\nSame long story everywhere.")
 
 
+def test_small_hosts_and_rare_templates(spark):
+    rows = [(1000 * n + i, f"http://h{n}.net/{i}", page(i)) for n in range(1, 9) for i in range(n)]
+    rare = "<html><body><section><div class='x'><div class='y'>Printed for you</div></div><p>Print {0} of {0}</p></section></body></html>"
+    rows += [(10000 + i, f"http://large.net/{i}", rare.format(i) if i < 5 else page(i)) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(1, 9):
+        want = "Story number {0} is about {1}." if n > 3 else "Welcome to our site\n\nStory number {0} is about {1}.\n\nAll rights reserved by us"
+        assert [got[1000 * n + i] for i in range(n)] == [want.format(i, i * i) for i in range(n)]
+    assert [got[10000 + i] for i in range(5)] == [f"Print {i} of {i}" for i in range(5)]
+    assert got[10007] == "Story number 7 is about 49."
+
+
 def test_composite():
     out = styletree.composite({"": (0.0, None), "/a": (1.0, None), "/a/b": (None, 0.0), "/a/c": (None, 1.0), "/d": (None, 0.1)})
     assert out["/a/b"] == 0 and out["/a/c"] == 1 and abs(out["/a"] - 0.55) < 1e-9 and abs(out[""] - 0.9 * (0.55 + 0.1) / 2) < 1e-9
