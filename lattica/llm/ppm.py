@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import id_text, map_arrow, ready
 
 ORDER = 4
-#: Labelled rows per language that the statistics are fitted on, and the longest text among them, in characters.
+#: Labelled rows per language that the statistics are fitted on, and the longest text among them, in characters, as long as a label has enough shorter ones.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
+#: What LETTERS finds, for Spark.
+_HAS_LETTERS = r"[\p{L}\p{Nl}\p{No}]"
 #: Languages at most; more labels than that are an error.
 LANGUAGES = 500
 #: Distinct words and byte runs that a worker keeps between batches.
@@ -153,20 +155,26 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Trees from at most SAMPLE_ROWS rows of each label, those with the least hash of their id.
 
-    A label with very many rows is thinned by that hash before its rows are ranked, so no task gets more than a few times
-    SAMPLE_ROWS. Only rows count that aren't held out and have an id, a label and a text of at most SAMPLE_CHARS characters.
+    Only rows count that aren't held out and have an id, a label and a text with letters. Texts of at most SAMPLE_CHARS
+    characters come first; a label with fewer than SAMPLE_ROWS of them gets longer ones too, whole, until SAMPLE_ROWS *
+    SAMPLE_CHARS characters are reached. A label with very many rows is thinned by that hash before its rows are ranked,
+    so no task gets more than a few times SAMPLE_ROWS.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(_HAS_LETTERS))
+    rows = rows.withColumn("size", F.char_length("text")).withColumn("long", F.col("size") > SAMPLE_CHARS)
+    counts = rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).limit(LANGUAGES + 1).collect()
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} labels")
     # a hash below its label's mark comes first: about four times the rows wanted, whatever the table's size
-    marks = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * SAMPLE_ROWS / r["count"])) for r in counts], "lang string, share double")
-    rows = rows.join(F.broadcast(marks), "lang").where(F.xxhash64("doc_id") / float(1 << 63) < 2 * F.col("share") - 1)
-    rows = rows.where(F.char_length("text") <= SAMPLE_CHARS)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    shares = [(r["lang"], min(1.0, 4 * SAMPLE_ROWS / max(1, r["short"])), min(1.0, 4 * SAMPLE_ROWS / max(1, r["long"])) if r["short"] < SAMPLE_ROWS else 0.0) for r in counts]
+    marks = docs.sparkSession.createDataFrame(shares, "lang string, share double, long_share double")
+    mark = F.when(F.col("long"), F.col("long_share")).otherwise(F.col("share"))
+    rows = rows.join(F.broadcast(marks), "lang").where((mark > 0) & (F.xxhash64("doc_id") / float(1 << 63) <= 2 * mark - 1))
+    first = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
     rows = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_ROWS)
+    upto = F.sum("size").over(Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") - F.col("size") < SAMPLE_ROWS * SAMPLE_CHARS)
     counted: dict[str, dict[bytes, int]] = {}
     for r in rows.select("lang", "text").toLocalIterator():
         own = counted.setdefault(r["lang"], {})

@@ -78,3 +78,21 @@ def test_edges(spark, docs, empty):
     kept = ppm.keep_identified(docs)
     assert kept.dtypes == docs.dtypes
     assert all(r["text"] and any(c.isalpha() for c in r["text"]) for r in kept.collect())
+
+
+def test_labels_of_long_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "SAMPLE_ROWS", 6)
+    monkeypatch.setattr(ppm, "SAMPLE_CHARS", 60)
+    rows = [(i, " ".join(WORDS["xx"] * 6), "xx") for i in range(2000)]  # all long
+    rows += [(5000 + i, " ".join(WORDS["yy"] * (2 if i % 100 == 0 else 6)), "yy") for i in range(2000)]  # 20 short ones
+    rows += [(8000 + i, ("uvu vuv" if i < 15 else None if i < 1000 else "1 2"), "zz") for i in range(2000)]  # few texts
+    rows += [(20000 + i, "ded " * 100, "ww") for i in range(40)]  # 400 characters each, and one is enough
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = ppm.fit(docs)
+    assert model.languages == ["ww", "xx", "yy", "zz"]
+    said = {lang: int(tree.runs[0][1].sum()) for lang, tree in zip(model.languages, model.trees)}
+    size = lambda text: len(text.encode()) + (not text.endswith(" "))  # noqa: E731 a word's bytes and the space behind it
+    assert said["ww"] == 400
+    assert said["yy"] == 6 * size(" ".join(WORDS["yy"] * 2)) and said["zz"] == 6 * size("uvu vuv")
+    assert said["xx"] == 4 * size(" ".join(WORDS["xx"] * 6))  # 107 characters each: 360 are reached with the fourth
+    assert {r["lang_pred"] for r in ppm.predict(docs.where("lang = 'xx'"), model).collect()} == {"xx"}
