@@ -8,7 +8,9 @@ each distinct run of ORDER + 1 bytes and once for each distinct word, and summed
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ ORDER = 4
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 #: What LETTERS finds, for Spark.
 _HAS_LETTERS = r"[\p{L}\p{Nl}\p{No}]"
+#: A text is of a language if it takes at most MARGIN times the bits a byte that this share of the language's sampled texts stay within.
+MARGIN, WITHIN = 3.0, 0.99
 #: Languages at most; more labels than that are an error.
 LANGUAGES = 500
 #: Distinct words and byte runs that a worker keeps between batches.
@@ -86,13 +90,14 @@ class Tree:
 class Model:
     languages: list[str]
     trees: list[Tree]
+    limits: list[float]
     runs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     bits: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     words: dict[str, int] = field(default_factory=dict)
     lengths: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def __getstate__(self):
-        return self.languages, self.trees
+        return self.languages, self.trees, self.limits
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -119,6 +124,10 @@ class Model:
 
         Texts of about `most` characters together are taken apart at a time, however many come in.
         """
+        return [own[:2] for own in self.judged(texts, most)]
+
+    def judged(self, texts: list[str | None], most: int = 2_000_000) -> list[tuple[str, float, bool]]:
+        """(language, share, whether the text's code length is one of that language) of whole texts."""
         out, at, held = [], 0, 0
         for i, t in enumerate(texts):
             held += len(t or "")
@@ -127,24 +136,26 @@ class Model:
                 at, held = i + 1, 0
         return out
 
-    def _score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def _score(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         if not self.languages:
-            return [("und", 0.0)] * len(texts)
+            return [("und", 0.0, False)] * len(texts)
         if len(self.words) > KEPT:
             self.words, self.lengths = {}, self.lengths[:0]
         new = list({w for f in found for w in f} - self.words.keys())
         if new:
             self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.lengths = np.concatenate([self.lengths.reshape(-1, len(self.trees)), self._word_bits(new)])
+            own = np.column_stack([self._word_bits(new), [len(w.encode()) + 1 for w in new]])  # bits by tree, and bytes
+            self.lengths = np.concatenate([self.lengths.reshape(-1, own.shape[1]), own])
         out, place = [], self.words.__getitem__
         for own in found:
             if not own:
-                out.append(("und", 0.0))
+                out.append(("und", 0.0, False))
                 continue
-            bits = self.lengths[np.fromiter(map(place, own), np.int64, len(own))].sum(0)
+            *bits, size = self.lengths[np.fromiter(map(place, own), np.int64, len(own))].sum(0)
+            bits = np.array(bits)
             best = int(bits.argmin())
-            out.append((self.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())))
+            out.append((self.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), bool(bits[best] <= self.limits[best] * size)))
         return out
 
 
@@ -175,14 +186,42 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_ROWS)
     upto = F.sum("size").over(Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("upto", upto).where(F.col("upto") - F.col("size") < SAMPLE_ROWS * SAMPLE_CHARS)
-    counted: dict[str, dict[bytes, int]] = {}
-    for r in rows.select("lang", "text").toLocalIterator():
-        own = counted.setdefault(r["lang"], {})
-        for word in LETTERS.findall(r["text"].lower()):
-            raw = word.encode()
-            own[raw] = own.get(raw, 0) + 1
-    languages = sorted(lang for lang, words in counted.items() if words)
-    return Model(languages, [Tree.fit(counted[lang]) for lang in languages])
+    languages, trees, limits = [], [], []
+    sample = rows.select("lang", "nth", "text").sortWithinPartitions("lang", "nth").toLocalIterator()
+    for lang, own in groupby(sample, key=lambda r: r["lang"]):
+        said = [c for r in own if (c := Counter(w.encode() for w in LETTERS.findall(r["text"].lower())))]
+        if said:
+            languages.append(lang)
+            trees.append(Tree.fit(_total(said)))
+            limits.append(_limit(said))
+    order = sorted(range(len(languages)), key=languages.__getitem__)
+    return Model(*([x[i] for i in order] for x in (languages, trees, limits)))
+
+
+def _total(said: list[Counter[bytes]]) -> Counter[bytes]:
+    out: Counter[bytes] = Counter()
+    for own in said:
+        out.update(own)
+    return out
+
+
+def _limit(said: list[Counter[bytes]]) -> float:
+    """Bits a byte up to which a text is of the language: MARGIN times what WITHIN of the sampled texts need in a tree of the other half.
+
+    A single text shows nothing of what others need: any is let through.
+    """
+    halves = said[::2], said[1::2]
+    if not halves[1]:
+        return float("inf")
+    rates = []
+    for own, other in (halves, halves[::-1]):
+        words = list(_total(own))
+        packed, sizes = grams(words)
+        runs, of = np.unique(packed, return_inverse=True)
+        bits = np.add.reduceat(Tree.fit(_total(other)).code_lengths(runs)[of], np.cumsum(sizes) - sizes)
+        bits_of = dict(zip(words, bits.tolist()))
+        rates += [sum(n * bits_of[w] for w, n in c.items()) / sum(n * (len(w) + 1) for w, n in c.items()) for c in own]
+    return MARGIN * float(np.quantile(rates, WITHIN))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,7 +245,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without texts that have no letters and without those of which no language takes at least `least` of the posterior.
+    """docs without texts that have no letters, those of which no language takes at least `least` of the posterior, and
+    those whose code length isn't one of their best language (gibberish, and languages that weren't learned; see MARGIN).
 
     Without any labelled row nothing can be told, and only texts without letters go.
     """
@@ -221,7 +261,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
         own = [None if t is None else t for t in text]
         if not model_known:
             return pd.Series([bool(t and LETTERS.search(t)) for t in own])
-        return pd.Series([lang != "und" and score >= least for lang, score in shared.value.score(own)])
+        return pd.Series([known and score >= least for _, score, known in shared.value.judged(own)])
 
     model_known = bool(model.languages)
     return docs.where(good(F.col(text_col)))

@@ -96,3 +96,13 @@ def test_labels_of_long_texts_are_learned(spark, monkeypatch):
     assert said["yy"] == 6 * size(" ".join(WORDS["yy"] * 2)) and said["zz"] == 6 * size("uvu vuv")
     assert said["xx"] == 4 * size(" ".join(WORDS["xx"] * 6))  # 107 characters each: 360 are reached with the fourth
     assert {r["lang_pred"] for r in ppm.predict(docs.where("lang = 'xx'"), model).collect()} == {"xx"}
+
+
+def test_gibberish_and_other_languages_go(spark):
+    rng = random.Random(5)
+    rows = made(300, 3)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (3, 10, 50, 300)]
+    junk += ["Wszyscy ludzie rodzą się wolni", "Все люди рождаются свободными", "人人生而自由"]
+    docs = spark.createDataFrame([*rows, *((1000 + i, t, None) for i, t in enumerate(junk))], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in ppm.keep_identified(docs).collect()) == [i for i, _, _ in rows]
+    assert all(lang != "und" and score >= 0.5 for lang, score in ppm.fit(docs).score(junk))  # the posterior alone keeps them
