@@ -8,18 +8,21 @@ together with their differing bits counted, and a pair of nodes is left as soon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import WORDS, id_text, map_arrow, materialize, ready, texts
 from .components import components
 
-#: Fingerprints under one block value beyond which a trie is split by a second block (2**18 block values at most).
+#: Fingerprints under one block value beyond which a trie is split by a second block, and then by a third.
 HOT_BLOCK = 200_000
+#: Such block values up to which their table is broadcast; more are joined without.
+BROADCAST_GROUPS = 300_000
 
 
 def shingle_hashes(text: bytes, words: int = 3, seed: int = 42) -> list[int]:
@@ -50,12 +53,15 @@ def simhash(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """doc_id, fp and the extra columns of docs (doc_id, text, extra)."""
+    own = ["doc_id", *extra]
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = simhash([shingle_hashes(t) for t in texts(batch)])
-        return pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        return pa.record_batch([*(batch.column(c) for c in own), pa.array(prints.view(np.int64))], [*own, "fp"])
 
-    return map_arrow(docs, run, "doc_id long, fp long")
+    return map_arrow(docs, run, ", ".join(f"{c} {kind}" for c, kind in docs.select(*own).dtypes) + ", fp long")
 
 
 class _Labels:
@@ -163,48 +169,79 @@ def trie_groups(group: np.ndarray, code: np.ndarray, top: np.ndarray, budget: in
 def _links(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group and code; whole groups are joined, many at a time; yields a star for each set of linked ones."""
     held: list[list[np.ndarray]] = []
-
-    def joined(cols: list[np.ndarray]) -> pa.RecordBatch:
-        group, code, top, fp = cols
-        labels = trie_groups(group, code.view(np.uint64), top)
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        grp, code, top, fp = (np.concatenate(c) for c in zip(*held))
+        code = code.view(np.uint64)
+        prefix = code >> (64 - top).astype(np.uint64)
+        turn = (grp[1:] != grp[:-1]) | (prefix[1:] != prefix[:-1]) | (top[1:] != top[:-1])
+        labels = trie_groups(np.concatenate([[0], np.cumsum(turn)]), code, top)
         tied = np.flatnonzero(labels != np.arange(len(labels)))
         return pa.record_batch([pa.array(fp[tied]), pa.array(fp[labels[tied]])], ["u", "v"])
 
     for batch in batches:
-        if batch.num_rows:
-            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "code", "top", "fp")])
-        if sum(len(h[0]) for h in held) >= most:
-            cols = [np.concatenate(c) for c in zip(*held)]
-            cut = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if (cols[0] != cols[0][-1]).any() else 0
-            held = [[c[cut:] for c in cols]]
-            if cut:
-                yield joined([c[:cut] for c in cols])
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "code", "top", "fp")]
+        if size >= most and cols[0][-1] != held[-1][0][-1]:
+            cut = int(np.flatnonzero(cols[0] != held[-1][0][-1])[0])
+            held.append([c[:cut] for c in cols])
+            yield joined()
+            held, size, cols = [], 0, [c[cut:] for c in cols]
+        held.append(cols)
+        size += len(cols[0])
     if held:
-        yield joined([np.concatenate(c) for c in zip(*held)])
+        yield joined()
+
+
+def _turned(low: Column, bits: int, by: Column, parts: int = 4) -> Column:
+    """The lowest `bits` bits, turned left by the by-th of `parts` blocks of them."""
+    mask, width = F.lit((1 << bits) - 1), bits // parts
+    return F.coalesce(*[F.when(by == i, F.shiftleft(low, width * i).bitwiseAND(mask).bitwiseOR(F.shiftrightunsigned(low, bits - width * i)) if i else low) for i in range(parts)])
+
+
+def _split(rows: DataFrame, top: int) -> DataFrame:
+    """Groups that agree on their first `top` bits, each split by the four blocks of the rest: a pair of at most 3 differing bits agrees on one."""
+    bits = 64 - top
+    width, mask = bits // 4, F.lit((1 << bits) - 1)
+    rows = rows.withColumn("s", F.explode(F.array(*map(F.lit, range(4)))))
+    rows = rows.withColumn("code", F.col("code").bitwiseAND(F.lit(~((1 << bits) - 1))).bitwiseOR(_turned(F.col("code").bitwiseAND(mask), bits, F.col("s"))))
+    block = F.shiftrightunsigned(F.col("code").bitwiseAND(mask), bits - width)
+    return rows.select(F.xxhash64("grp", "s", block).alias("grp"), "code", F.lit(top + width).alias("top"), "fp")
 
 
 def trie_links(prints: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) to links (u, v) that span every set joined by at most 3 differing bits."""
+    """Distinct fingerprints (fp) to links (u, v) that span every set joined by at most 3 differing bits.
+
+    Groups over HOT_BLOCK are split by a second and a third block; what agrees on 37 bits is one group, whatever its size.
+    """
     ready(prints.sparkSession)
-    block = prints.withColumn("b", F.explode(F.array(*map(F.lit, range(4)))))
+    rows = prints.withColumn("b", F.explode(F.array(*map(F.lit, range(4)))))
     code = F.coalesce(*[F.when(F.col("b") == i, F.shiftleft("fp", 16 * i).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * i)) if i else F.col("fp")) for i in range(4)])
-    block = block.withColumn("code", code).withColumn("grp", F.shiftrightunsigned("code", 48) * 4 + F.col("b"))
-    hot = block.groupBy("grp").count().where(F.col("count") > HOT_BLOCK).select("grp", F.lit(True).alias("hot"))
-    block = block.join(F.broadcast(hot), "grp", "left")  # at most 2**18 groups exist
-    mask = F.lit((1 << 48) - 1)
-    low = F.col("code").bitwiseAND(mask)
-    turned = F.coalesce(*[F.when(F.col("s") == i, F.shiftleft(low, 12 * i).bitwiseAND(mask).bitwiseOR(F.shiftrightunsigned(low, 48 - 12 * i)) if i else low) for i in range(4)])
-    split = (
-        block.where("hot")
-        .withColumn("s", F.explode(F.array(*map(F.lit, range(4)))))
-        .withColumn("code", F.col("code").bitwiseAND(F.lit(~((1 << 48) - 1))).bitwiseOR(turned))
-        .withColumn("grp", F.lit(1 << 40) + (F.col("grp") * 4 + F.col("s")) * 4096 + F.shiftrightunsigned(F.col("code").bitwiseAND(mask), 36))
-        .select("grp", "code", F.lit(28).alias("top"), "fp")
-    )
-    rows = block.where("hot is null").select("grp", "code", F.lit(16).alias("top"), "fp").unionByName(split)
+    rows = rows.withColumn("code", code).select((F.shiftrightunsigned("code", 48) * 4 + F.col("b")).alias("grp"), "code", F.lit(16).alias("top"), "fp")
+    done = []
+    for top in (16, 28):
+        hot = materialize(rows.groupBy("grp").count().where(F.col("count") > HOT_BLOCK).select("grp"), "hot")
+        n = hot.limit(BROADCAST_GROUPS + 1).count()
+        if n == 0:
+            break
+        own = F.broadcast(hot) if n <= BROADCAST_GROUPS else hot
+        done.append(rows.join(own, "grp", "left_anti").select("grp", "code", "top", "fp"))
+        rows = _split(rows.join(own, "grp", "left_semi"), top)
+    rows = reduce(DataFrame.unionByName, done, rows)
     return rows.repartition("grp").sortWithinPartitions("grp", "code").mapInArrow(_links, "u long, v long")
 
 
+def _classes(docs: DataFrame, extra: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text, extra) as (doc_id, extra, fp), and each distinct fp with its least row (least) and its component (root)."""
+    prints = materialize(fingerprints(docs, extra), "simhash")
+    least = F.min(F.struct(*extra)) if extra else F.min("doc_id")
+    classes = materialize(prints.groupBy("fp").agg(least.alias("least")), "classes")
+    roots = components(trie_links(classes.select("fp")))
+    return prints, classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs.
 
@@ -212,28 +249,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null ids don't name one, and a component of null ids alone has a null name. Repeated rows come back as often as they
     occur. An empty table gives an empty result; other columns are ignored.
     """
-    prints = materialize(fingerprints(id_text(docs, id_col, text_col)), "simhash")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(trie_links(classes.select("fp")))
-    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints, classes = _classes(id_text(docs, id_col, text_col))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = classes.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each component: that with the smallest id.
+    """docs without all but one row of each component, whatever their ids.
 
-    Of rows that repeat an id one stays. Rows without an id can't be named by a component and all stay. Columns stay as they are.
+    The smallest id stays, a null one only where no row of the component has another; of rows that share it, the one with
+    the least text hash; of rows that share id and text, the one whose other columns have the least hash (maps aside).
+    Columns stay as they are. An empty table gives an empty result.
     """
-    own = id_text(docs, id_col, text_col)
-    kept = near_duplicates(own).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return one_row_each(docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi"), id_col, text_col).unionByName(docs.where(F.col(id_col).isNull()))
-
-
-def one_row_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The row with the least text of each id; partitioned by id already, so this adds no shuffle."""
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return docs.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    key = {"__none": id_.isNull(), "__id": F.coalesce(id_, F.lit(0)), "__hash": F.xxhash64(text), "__size": F.coalesce(F.octet_length(text), F.lit(-1))}
+    _, classes = _classes(docs.select(id_.alias("doc_id"), text.alias("text"), *[c.alias(k) for k, c in key.items()]), list(key))
+    kept = classes.groupBy("root").agg(F.min("least").alias("kept")).select("kept.*")
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    once = docs.select(*[c.alias(k) for k, c in key.items()], F.struct(*map(F.col, docs.columns)).alias("row"), F.xxhash64(*hashed).alias("nth"))
+    once = once.groupBy(*key).agg(F.min_by("row", "nth").alias("row"))
+    return once.join(kept, list(key), "left_semi").select("row.*")

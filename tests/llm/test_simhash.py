@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lattica.llm import simhash
 from lattica.llm.components import components
@@ -47,12 +48,40 @@ def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_keep_one(docs):
-    rows = simhash.near_duplicates(docs).collect()
+def kept_by_brute_force(rows):
+    """Of each component of (id, text) rows the smallest id, a null one last; a repeated id's text is picked by the operator's own rule."""
+    of = groups([one(t) for _, t in rows])
+    return {g: min((i is None, i or 0) for (i, _), x in zip(rows, of) if x == g) for g in of}, of
+
+
+def test_keep_one(spark, docs):
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
-    assert ids == sorted({r["component_id"] for r in rows if r["component_id"] is not None} | {None}, key=str)
+    assert kept.dtypes == docs.dtypes
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want, of = kept_by_brute_force(rows)
+    component = dict(zip(rows, of))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(component[r] for r in got) == sorted(want)
+    assert all((i is None, i or 0) == want[component[i, t]] for i, t in got)
+
+
+def test_keep_one_is_by_row_where_ids_repeat_or_are_null(spark):
+    a, near = "alpha beta gamma delta " * 30 + "one", "alpha beta gamma delta " * 30 + "one"
+    b, c, d = ("quite another text about " + w * 3 for w in ("rivers ", "mountains ", "deserts "))
+    rows = [(3, a), (5, near), (5, b), (5, b), (5, c), (None, a), (None, d), (None, d), (7, None), (None, None), (8, "")]
+    docs = spark.createDataFrame([(*r, f"x{n}") for n, r in enumerate(rows)], "doc_id long, text string, extra string").repartition(5)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (5, c), (None, d), (7, None)], key=str)
+    with_map = docs.withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    assert simhash.keep_one(with_map).count() == 5
+    assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_keep_one_over_one_id(spark):
+    """Many different texts under one id, and copies of some of them: none is lost, no copy stays."""
+    own = [f"{w} " * 9 + f"{w * 2} closes number {n} with {w[::-1]}" for n, w in enumerate("abcd efgh ijkl mnop qrst uvwx yzab cdef".split())]
+    docs = spark.createDataFrame([(1, t) for t in own * 3], "doc_id long, text string").repartition(4)
+    assert sorted(r["text"] for r in simhash.keep_one(docs).collect()) == sorted(own)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -79,3 +108,11 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {2: 1, 3: 1, 11: 1, 8: 7, 9: 7, 21: 20} | {101 + i: 100 for i in range(40)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("hubs", [1000, 3])
+def test_components_with_hubs(spark, monkeypatch, hubs):
+    monkeypatch.setattr("lattica.llm.components.HUBS", hubs)
+    edges = [(5, i) for i in range(6, 60)] + [(60, i) for i in range(30, 90)] + [(200, 201), (201, 202)] + [(100 + i, 101 + i) for i in range(9)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 5 for i in range(6, 90)} | {201: 200, 202: 200} | {101 + i: 100 for i in range(9)}
