@@ -1,13 +1,16 @@
 """Language identification by prediction by partial matching: byte context trees per language, frozen after fitting.
 
 A text is coded word by word (runs of letters, lowered); the context of a byte is what precedes it in its word, up to
-ORDER bytes. Under frozen statistics a byte's code length depends on those bytes alone, so it is worked out once for
+ORDER bytes. What stands between words (digits, marks, white space) is the same in all languages here and isn't coded:
+it would add equal bits to every language, and contexts that run over it would make each place of a text a case of its
+own instead of each distinct word. Under frozen statistics a byte's code length depends on those bytes alone, so it is worked out once for
 each distinct run of ORDER + 1 bytes and once for each distinct word, and summed exactly for every whole text.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -22,14 +25,22 @@ ORDER = 4
 #: Labelled rows per language that the statistics are fitted on, and the longest text among them, in characters, as long as a label has enough shorter ones.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 #: What LETTERS finds, for Spark.
-_HAS_LETTERS = r"[\p{L}\p{Nl}\p{No}]"
+_HAS_LETTERS = r"\p{L}"
 #: A text is of a language if it takes at most MARGIN times the bits a byte that this share of the language's sampled texts stay within.
 MARGIN, WITHIN = 3.0, 0.99
 #: Languages at most; more labels than that are an error.
 LANGUAGES = 500
 #: Distinct words and byte runs that a worker keeps between batches.
 KEPT = 120_000
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _other_numbers() -> str:
+    """What counts as a word character in a pattern but is neither a letter nor a decimal digit: fractions, Roman numeral signs and the like."""
+    return "".join(re.escape(c) for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+
+
+#: Runs of letters (Unicode category L).
+LETTERS = re.compile(rf"[^\W\d_{_other_numbers()}]+")
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -164,25 +175,32 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trees from at most SAMPLE_ROWS rows of each label, those with the least hash of their id.
+    """Trees from at most SAMPLE_ROWS rows of each label, those with the least hash of their id and text.
 
-    Only rows count that aren't held out and have an id, a label and a text with letters. Texts of at most SAMPLE_CHARS
-    characters come first; a label with fewer than SAMPLE_ROWS of them gets longer ones too, whole, until SAMPLE_ROWS *
-    SAMPLE_CHARS characters are reached. A label with very many rows is thinned by that hash before its rows are ranked,
-    so no task gets more than a few times SAMPLE_ROWS.
+    Only rows count that aren't held out and have an id, a label and a text with letters; rows equal in label, id and text
+    count once. Texts of at most SAMPLE_CHARS characters come first; a label with fewer than SAMPLE_ROWS of them gets longer
+    ones too, whole, until SAMPLE_ROWS * SAMPLE_CHARS characters are reached. A label with very many rows is thinned by that
+    hash before its rows are ranked, so no task gets more than a few times SAMPLE_ROWS; its least row always stays, so every
+    label with such a row is learned.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(_HAS_LETTERS))
-    rows = rows.withColumn("size", F.char_length("text")).withColumn("long", F.col("size") > SAMPLE_CHARS)
-    counts = rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).limit(LANGUAGES + 1).collect()
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("size", F.char_length("text")).withColumn("long", F.col("size") > SAMPLE_CHARS)
+    short, long = F.when(~F.col("long"), F.col("h")), F.when(F.col("long"), F.col("h"))
+    kinds = rows.groupBy("lang").agg(F.approx_count_distinct(short).alias("short"), F.approx_count_distinct(long).alias("long"), F.min(F.struct("long", "h")).alias("least"))
+    counts = kinds.limit(LANGUAGES + 1).collect()
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} labels")
     # a hash below its label's mark comes first: about four times the rows wanted, whatever the table's size
-    shares = [(r["lang"], min(1.0, 4 * SAMPLE_ROWS / max(1, r["short"])), min(1.0, 4 * SAMPLE_ROWS / max(1, r["long"])) if r["short"] < SAMPLE_ROWS else 0.0) for r in counts]
-    marks = docs.sparkSession.createDataFrame(shares, "lang string, share double, long_share double")
+    shares = [
+        (r["lang"], min(1.0, 4 * SAMPLE_ROWS / max(1, r["short"])), min(1.0, 4 * SAMPLE_ROWS / max(1, r["long"])) if r["short"] < 1.5 * SAMPLE_ROWS else 0.0, r["least"]["h"]) for r in counts
+    ]
+    marks = docs.sparkSession.createDataFrame(shares, "lang string, share double, long_share double, least long")
     mark = F.when(F.col("long"), F.col("long_share")).otherwise(F.col("share"))
-    rows = rows.join(F.broadcast(marks), "lang").where((mark > 0) & (F.xxhash64("doc_id") / float(1 << 63) <= 2 * mark - 1))
-    first = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    near = (mark > 0) & (F.col("h") / float(1 << 63) <= 2 * mark - 1)
+    rows = rows.join(F.broadcast(marks), "lang").where(near | (F.col("h") == F.col("least")))
+    rows = rows.groupBy("lang", "h").agg(*[F.first(c).alias(c) for c in ("text", "size", "long")])
+    first = Window.partitionBy("lang").orderBy("long", "h")
     rows = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_ROWS)
     upto = F.sum("size").over(Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("upto", upto).where(F.col("upto") - F.col("size") < SAMPLE_ROWS * SAMPLE_CHARS)

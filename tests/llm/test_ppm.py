@@ -106,3 +106,24 @@ def test_gibberish_and_other_languages_go(spark):
     docs = spark.createDataFrame([*rows, *((1000 + i, t, None) for i, t in enumerate(junk))], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in ppm.keep_identified(docs).collect()) == [i for i, _, _ in rows]
     assert all(lang != "und" and score >= 0.5 for lang, score in ppm.fit(docs).score(junk))  # the posterior alone keeps them
+
+
+def test_number_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([*(("und noch ein wort", "de"), ("and another word", "en")) * 20, ("½ ²", None), ("Ⅳ ⅷ ①", None), ("12 ½x", None)])], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in ppm.identify(docs).collect()}
+    assert got[40] == got[41] == "und" and got[42] != "und"
+    assert ppm.LETTERS.findall("a½b Ⅳ é_1 ß²c 漢字 ªº") == ["a", "b", "é", "ß", "c", "漢字", "ªº"]
+
+
+def test_labels_under_few_ids_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "SAMPLE_ROWS", 6)
+    for own in (0, 1, 3, 4, 5, 7, 9):  # ids that aren't held out, or only the others count
+        rows = [(own, f"wort nummer {'abcdefghij'[i % 10] * (1 + i // 10)}", "de") for i in range(3000)]
+        rows += [(own, "the one text that all of these rows repeat", "en")] * 3000
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+        if docs.where(ppm.held_out()).limit(1).count():
+            continue
+        model = ppm.fit(docs)
+        assert model.languages == ["de", "en"]
+        assert int(model.trees[1].runs[0][1].sum()) == len("the one text that all of these rows repeat") + 1
+        assert int(model.trees[0].runs[0][1].sum()) > 5 * len("wort nummer a")
