@@ -72,22 +72,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _url_filter_sql() -> str:
-    def hits(terms: tuple[str, ...], most: str = "") -> str:
-        return " + ".join(rf"CAST(regexp_matches(u, '(^|[^a-z]){t}([^a-z]|$)') AS INTEGER)" for t in terms)
-
-    def count(terms: tuple[str, ...]) -> str:
-        # how often a term stands alone: cut at what separates words, so that neighbours count too
-        listed = ", ".join(f"'{t}'" for t in terms)
-        return f"len(list_filter(regexp_split_to_array(u, '[^a-z]'), lambda x: x IN ({listed})))"
+    def listed(terms: tuple[str, ...]) -> str:
+        return ", ".join(f"'{t}'" for t in terms)
 
     return f"""
 WITH parts AS (
   SELECT page_id,
          coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         -- runs of letters of the whole URL: a term counts where it is such a run
+         regexp_split_to_array(coalesce(translate(regexp_replace(url, '%[0-9A-Fa-f]{{2}}', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\\p{{L}}]') AS words
   FROM pages
 ), counted AS (
-  SELECT *, lower(host || path) AS u,
+  SELECT *,
          CASE WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
               WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
               WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
@@ -95,7 +92,9 @@ WITH parts AS (
               WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule
   FROM parts
 ), scored AS (
-  SELECT *, CAST({count(urlfilter.STRICT)} AS INTEGER) AS strict_hits, CAST({hits(urlfilter.SOFT)} AS INTEGER) AS soft_hits FROM counted
+  SELECT *, CAST(len(list_filter(words, lambda x: x IN ({listed(urlfilter.STRICT)}))) AS INTEGER) AS strict_hits,
+         CAST(len(list_distinct(list_filter(words, lambda x: x IN ({listed(urlfilter.SOFT)})))) AS INTEGER) AS soft_hits
+  FROM counted
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'

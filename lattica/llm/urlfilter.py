@@ -13,10 +13,16 @@ from .common import map_arrow
 
 #: (verdict, host, path): fits the host and its subdomains if the URL's path starts with path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: One of these blocks.
-STRICT = ("porn", "xxx", "casino", "viagra", "cialis", "spam", "adult", "escort", "hentai", "warez")
+#: One of these blocks. Terms are runs of a-z.
+STRICT = (
+    "adult", "camgirl", "camgirls", "casino", "cialis", "erotica", "escort", "escorts", "hentai", "keygen", "milf", "nsfw", "porn", "porno", "sportsbook", "spam", "upskirt", "viagra", "warez", "xnxx", "xvideos", "xxx",
+)
 #: So many different ones of these block.
-SOFT = ("free", "cheap", "win", "bets", "bet", "pills", "ads", "track", "poker", "jackpot", "loan", "prize", "coupon", "dating", "bonus", "lottery")
+SOFT = (
+    "ads", "affiliate", "baccarat", "bet", "bets", "betting", "bingo", "blackjack", "bonus", "cheap", "coupon", "coupons", "dating", "erotic", "fetish", "forex", "free", "gambling", "giveaway", "hardcore", "hookup", "hookups",
+    "jackpot", "loan", "loans", "lottery", "lotto", "meds", "naked", "nude", "nudes", "payday", "pills", "poker", "popunder", "prize", "prizes", "replica", "roulette", "sex", "sexy", "singles", "slots", "stripper", "swingers", "torrents",
+    "track", "weightloss", "win",
+)
 SOFT_HITS = 2
 FILTERED = "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_hits int"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,9 +56,13 @@ def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]):
     return out
 
 
-def vocabulary_hits(url: str, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> tuple[int, int]:
-    """(strict hits, different soft terms) in a URL. A term counts only with no letter on either side of it."""
-    low = url.lower()
+def searched(url: Column) -> Column:
+    """What the vocabulary is counted over: the whole URL, A-Z lowered, percent escapes as blanks; empty for null."""
+    return F.coalesce(F.translate(F.regexp_replace(url, "%[0-9A-Fa-f]{2}", " "), _UPPER, _LOWER), F.lit(""))
+
+
+def vocabulary_hits(low: str, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> tuple[int, int]:
+    """(strict hits, different soft terms) in a lowered URL. A term counts only with no letter (Unicode category L) on either side of it."""
     n_strict, seen = 0, set()
     for end, (term, is_strict) in _automaton(strict, soft).iter(low):
         before, after = end - len(term), end + 1
@@ -68,24 +78,21 @@ def vocabulary_hits(url: str, strict: tuple[str, ...] = STRICT, soft: tuple[str,
 def judge(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_hits: int = SOFT_HITS
 ) -> DataFrame:
-    """A row per page (see FILTERED). The longest rule that fits decides, or else the vocabulary over host and path.
+    """A row per page (see FILTERED). The longest rule that fits decides, or else the vocabulary over the whole URL, query and fragment included.
 
-    Null urls and those without :// have an empty host and path, no rule, and pass. Repeated rows come back as often;
-    an empty table gives an empty result; other columns are ignored.
+    URLs without :// have an empty host and path and no rule; their vocabulary is counted too. Null urls pass. Repeated rows
+    come back as often; an empty table gives an empty result; other columns are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[], [], [], []]
-        known: dict[tuple[str, str], tuple] = {}
-        for key in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-            if (row := known.get(key)) is None:
-                n_strict, n_soft = vocabulary_hits("".join(key), strict, soft)
-                found = longest_rule(*key, rules)
-                row = known[key] = (*(found or (None, "block" if n_strict or n_soft >= soft_hits else "allow")), n_strict, n_soft)
-            for col, value in zip(cols, row):
+        for host, path, url in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "url"))):
+            n_strict, n_soft = vocabulary_hits(url, strict, soft)
+            rule, verdict = longest_rule(host, path, rules) or (None, "block" if n_strict or n_soft >= soft_hits else "allow")
+            for col, value in zip(cols, (rule, verdict, n_strict, n_soft)):
                 col.append(value)
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
         return pa.record_batch([*(batch.column(c) for c in ("page_id", "host", "path")), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits"])
 
     url = F.col(url_col).cast("string")
-    return map_arrow(pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")), run, FILTERED)
+    return map_arrow(pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), searched(url).alias("url")), run, FILTERED)
