@@ -56,8 +56,8 @@ def suffix_array(values: np.ndarray) -> np.ndarray:
 class FmIndex:
     """Index over several sequences of symbols from 1; no match reaches over the end of a sequence."""
 
-    def __init__(self, symbols: np.ndarray, sizes: np.ndarray):
-        """symbols: all sequences one after another."""
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, copies: np.ndarray | None = None):
+        """symbols: all sequences one after another; copies: how often each one stands in what is indexed (once each if not given)."""
         n_seq, n_symbols = len(sizes), int(symbols.max(initial=0)) + 1
         ends = np.cumsum(sizes)
         self.starts = ends - sizes + np.arange(n_seq)
@@ -72,6 +72,8 @@ class FmIndex:
         order = suffix_array(apart)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=n_symbols))])
         self.ranks = WaveletMatrix(self.text[order - 1], n_symbols)
+        owner = np.repeat(np.arange(n_seq), sizes + 1)
+        self.weight = np.concatenate([[0], np.cumsum(copies[owner[order]])]) if copies is not None else np.arange(self.n + 1)
 
     def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of suffixes that start with the symbol and go on with what [lo, hi) start with."""
@@ -79,6 +81,10 @@ class FmIndex:
         at = self.ranks.rank(np.concatenate([symbols, symbols]), np.concatenate([lo, hi])) + np.concatenate([self.less[symbols]] * 2)
         return at[:m], at[m:]
 
+    def times(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How often what the suffixes [lo, hi) start with occurs, copies counted."""
+        return self.weight[hi] - self.weight[lo]
+
     def _windows(self, starts: np.ndarray, width: int) -> np.ndarray:
         """Whether each window occurs at least twice."""
         out = np.zeros(len(starts), dtype=bool)
@@ -86,7 +92,7 @@ class FmIndex:
         lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, dtype=np.int64)
         for k in range(width - 1, -1, -1):
             lo, hi = self.extend(self.text[starts[left] + k], lo, hi)
-            ok = hi - lo >= 2
+            ok = self.times(lo, hi) >= 2
             left, lo, hi = left[ok], lo[ok], hi[ok]
         out[left] = True
         return out
@@ -113,7 +119,7 @@ class FmIndex:
             if not len(own):
                 break
             nlo, nhi = self.extend(self.text[p - 1], lo, hi)
-            ok = nhi - nlo >= 2
+            ok = self.times(nlo, nhi) >= 2
             p = np.where(ok, p - 1, p)
             lo, hi = np.where(ok, nlo, lo), np.where(ok, nhi, hi)
             scan = broke < 0

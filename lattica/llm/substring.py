@@ -3,8 +3,10 @@
 A window is `WINDOW` words. The least hash of its runs of `GRAM` words depends on the window alone, so equal windows
 have equal least hashes: consecutive windows with one least hash form a segment, and the hash is the key that brings
 all places together where such a window may repeat. Segments whose hash occurs once, and in one place of its text,
-go no further; equal segments are counted instead of compared. The rest, different segments under one hash, are what the FM-index of a shard is built
-over and searched with: matching statistics of each segment by backward search, intervals above the window reported.
+go no further. Of the others each different segment is indexed once, with the number of its copies: the FM-index of a
+shard is built over them and searched with them: matching statistics of each segment by backward search, intervals
+above the window reported, and handed to all places of the segment. Segments are told apart by two 64-bit hashes, of
+all their words and of the least run.
 """
 
 from __future__ import annotations
@@ -104,30 +106,30 @@ def _texts_of(docs: DataFrame, window: int) -> DataFrame:
     """The words of the segments to look at; of segments under a hot hash, the hashes of each window instead."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: dict[str, list] = {c: [] for c in ("least", "copies", "doc_id", "text_hash", "start", "words", "w1", "w2")}
+        cols: dict[str, list] = {c: [] for c in ("least", "content", "copies", "at", "words", "w1", "w2")}
 
         def put(*values) -> None:
             for col, value in zip(cols.values(), values):
                 col.append(value)
 
-        for doc_id, text_hash, text, segs in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts(batch), batch.column("segs").to_pylist()):
+        for text, segs in zip(texts(batch), batch.column("segs").to_pylist()):
             words = WORDS.findall(text)
             spans = None
             for s in segs:
                 if s["classes"] <= HOT:
-                    put(s["least"], s["copies"], doc_id, text_hash, s["start"], b" ".join(words[s["start"] : s["start"] + s["n"] + window - 1]), None, None)
+                    put(s["least"], s["content"], s["copies"], 0, b" ".join(words[s["start"] : s["start"] + s["n"] + window - 1]), None, None)
                     continue
                 if spans is None:
                     hashes = word_hashes(words)
                     spans = _Spans(hashes, _BASE), _Spans(_mix(hashes), _BASE2)
                 at = np.arange(s["start"], s["start"] + s["n"])
                 w1, w2 = (x.of(at, at + window).view(np.int64).tolist() for x in spans)
-                for i, start in enumerate(at.tolist()):
-                    put(s["least"], s["copies"], doc_id, text_hash, start, None, w1[i], w2[i])
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+                for i in range(s["n"]):
+                    put(s["least"], s["content"], s["copies"], i, None, w1[i], w2[i])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols.values(), kinds)], list(cols))
 
-    return map_arrow(docs, run, "least long, copies long, doc_id long, text_hash long, start int, words binary, w1 long, w2 long")
+    return map_arrow(docs, run, "least long, content long, copies long, at int, words binary, w1 long, w2 long")
 
 
 def _search(window: int):
@@ -138,26 +140,24 @@ def _search(window: int):
         symbols: list[int] = []
         sizes = []
         for row in rows:
-            words = row[5].split(b" ")
+            words = row[3].split(b" ")
             sizes.append(len(words))
             symbols += [ids.setdefault(w, len(ids) + 1) for w in words]
-        index = FmIndex(np.array(symbols, dtype=np.int64), np.array(sizes))
-        ask = np.array([i for i, row in enumerate(rows) if row[1] == 1], dtype=np.int64)
-        seq, a, b = index.repeated(ask, window)
-        own = [rows[i] for i in ask[seq].tolist()]
-        start = np.array([r[4] for r in own], dtype=np.int64)
-        return pa.record_batch([pa.array([r[2] for r in own], pa.int64()), pa.array([r[3] for r in own], pa.int64()), pa.array(start + a, pa.int32()), pa.array(start + b, pa.int32())], ["doc_id", "text_hash", "a", "b"])
+        index = FmIndex(np.array(symbols, dtype=np.int64), np.array(sizes), np.array([row[2] for row in rows], dtype=np.int64))
+        seq, a, b = index.repeated(np.arange(len(rows)), window)
+        least, content = (np.array([row[i] for row in rows], dtype=np.int64)[seq] for i in (0, 1))
+        return pa.record_batch([pa.array(least), pa.array(content), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["least", "content", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, group = 0, 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("least", "copies", "doc_id", "text_hash", "start", "words"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("least", "content", "copies", "words"))):
                 if held and row[0] != held[-1][0] and size >= SHARD_WORDS:
                     yield shard(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[5].count(b" ") + 1
+                size += row[3].count(b" ") + 1
         if held:
             yield shard(held)
 
@@ -180,20 +180,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     met = all_segs.groupBy("least").agg(F.count("*").alias("places"), F.max("again").alias("again")).where("places > 1 or again").select("least")
     segs = materialize(all_segs.join(met, "least", "left_semi"), "met")
     classes = materialize(segs.groupBy("least", "content").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("one")), "classes")
-    equal = segs.join(classes.where("copies > 1").select("least", "content"), ["least", "content"], "left_semi").select(
-        "doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b")
-    )
-    several = classes.groupBy("least").agg(F.count("*").alias("classes"), F.max("again").alias("again")).where("classes > 1 or again").drop("again")
-    look = classes.join(several, "least").select("one.*", "least", "copies", "classes")
-    look = look.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n", "least", "copies", "classes")).alias("segs"))
-    asked = docs.join(look, _same_row(docs, look)).select(docs["doc_id"], docs["text_hash"], docs["text"], "segs")
-    rows = materialize(_texts_of(asked, window), "shards")
-    found = rows.where("words is not null").drop("w1", "w2").repartition("least").sortWithinPartitions("least").mapInArrow(_search(window), "doc_id long, text_hash long, a int, b int")
-    single = rows.where("words is null").select("doc_id", "text_hash", "start", "copies", "w1", "w2")
+    several = classes.groupBy("least").agg(F.count("*").alias("classes"))
+    look = classes.join(several, "least").select("one.*", F.struct(F.col("one.start").alias("start"), F.col("one.n").alias("n"), "least", "content", "copies", "classes").alias("seg"))
+    look = look.groupBy(*_row_key()).agg(F.collect_list("seg").alias("segs"))
+    once = docs.groupBy(*_row_key()).agg(F.first("text").alias("text"))  # of rows that repeat both an id and a text one is read
+    rows = materialize(_texts_of(once.join(look, ["none", "id", "text_hash"]).select("text", "segs"), window), "shards")
+    found = rows.where("words is not null").drop("w1", "w2").repartition("least").sortWithinPartitions("least").mapInArrow(_search(window), "least long, content long, a int, b int")
+    single = rows.where("words is null").select("least", "content", "at", "copies", "w1", "w2")
     twice = single.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
-    hot = single.where("copies = 1").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
-    spans = equal.unionByName(found).unionByName(hot)
-    return spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    hot = single.join(twice, ["w1", "w2"], "left_semi").select("least", "content", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+    by_class = found.unionByName(hot).groupBy("least", "content").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    spans = segs.join(by_class, ["least", "content"]).select("doc_id", "text_hash", F.transform("found", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b"))).alias("own"))
+    return spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("own")).alias("spans"))
+
+
+def _row_key() -> list[Column]:
+    """A row's id and text without nulls, so that joins by them and groups share a partitioning."""
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash")]
 
 
 def kept_words(text: bytes, spans: list[dict] | None) -> tuple[int, list[bytes]]:

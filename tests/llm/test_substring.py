@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import substring
 from lattica.llm.fmindex import FmIndex, WaveletMatrix, suffix_array
@@ -83,3 +84,25 @@ def test_parts():
     wm = WaveletMatrix(values, 9)
     for c in range(9):
         assert wm.rank(np.full(501, c), np.arange(501)).tolist() == [int((values[:i] == c).sum()) for i in range(501)]
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_rows_that_repeat_share_one_list_of_spans(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    text, other = " ".join(f"w{i % 50}" for i in range(300)), " ".join(f"v{i}" for i in range(80))
+    tail = " ".join(f"w{i}" for i in range(10, 50)) + " and an end"
+    rows = [(1, text)] * 400 + [(None, text)] * 3 + [(2, other), (3, tail)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spans = substring.repeated_spans(docs.withColumn("text_hash", F.xxhash64("text"))).collect()
+    assert sorted(str(r["doc_id"]) for r in spans) == ["1", "3", "None"]
+    assert all(len(r["spans"]) < 400 for r in spans)
+    got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.judge(docs).collect()}
+    assert got == {(1, 300, 300), (None, 300, 300), (2, 80, 0), (3, 43, 40)}
+
+
+def test_index_counts_copies():
+    symbols, sizes = np.array([1, 2, 3, 4, 5, 1, 2, 3, 9]), np.array([5, 4])
+    once = FmIndex(symbols, sizes).repeated(np.arange(2), 3)
+    assert sorted(zip(*(x.tolist() for x in once))) == [(0, 0, 3), (1, 0, 3)]
+    twice = FmIndex(symbols, sizes, np.array([2, 1])).repeated(np.arange(2), 3)
+    assert sorted(zip(*(x.tolist() for x in twice))) == [(0, 0, 5), (1, 0, 3)]
