@@ -6,14 +6,16 @@ After the public TLSH scheme (Oliver, Cheng and Chen 2013), with a hash and a sc
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_text, ready
+from .common import id_text, map_arrow, materialize, pieces, ready
 
 BUCKETS = 256
 #: A difference of so much or more is a likeness of zero.
@@ -75,24 +77,82 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
+def _compared(own: tuple, after: str, after_print: str) -> tuple:
+    """A row of COMPARED for own (id, text, fingerprint) and the document behind it."""
+    changed = edited(own[1], after).encode()
+    print_ = own[2] if changed == own[1].encode() else fingerprint(changed)
+    return own[0], len(own[1]), hashlib.sha256(changed).hexdigest(), own[2], print_, likeness(own[2], print_), likeness(own[2], after_print)
+
+
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.string())
+_DEALT = COMPARED + ", bucket int, is_first boolean, text string"
+
+
+def _batch(rows: list[tuple], kinds: tuple = _KINDS, schema: str = _DEALT) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else [[] for _ in kinds]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in schema.split(", ")])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, own rows before the next bucket's first one, then by id: each own row meets the row behind it."""
-    bucket, own = None, None  # own: (id, text, fingerprint) that waits for the next row
+    """Rows sorted by bucket and place: each row that has another one of its bucket behind it is compared with that.
+
+    A bucket's first and last rows also come out as they are (bucket, is_first, doc_id, text), for the pairs between buckets.
+    """
+
+    def edge(bucket: int, is_first: bool, row: tuple) -> tuple:
+        return (row[0], *[None] * 6, bucket, is_first, row[1])
+
+    bucket, own = None, None
     for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
-        for b, guest, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text"))):
-            text = text or ""
-            row = (doc_id, text, None if b == bucket and own is None else fingerprint(text.encode()))
-            if b == bucket and own is not None:
-                changed = edited(own[1], text).encode()
-                print_ = own[2] if changed == own[1].encode() else fingerprint(changed)
-                values = (own[0], len(own[1]), hashlib.sha256(changed).hexdigest(), own[2], print_, likeness(own[2], print_), likeness(own[2], row[2]))
-                for col, value in zip(cols, values):
-                    col.append(value)
-            own = None if guest else row
-            bucket = b
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in COMPARED.split(", ")])
+        for part in pieces(batch):
+            out = []
+            for b, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "doc_id", "text"))):
+                text = text or ""
+                row = doc_id, text, fingerprint(text.encode())
+                if b == bucket:
+                    out.append((*_compared(own, text, row[2]), None, None, None))
+                else:
+                    if own is not None:
+                        out.append(edge(bucket, False, own))
+                    out.append(edge(b, True, row))
+                bucket, own = b, row
+            yield _batch(out)
+    if own is not None:
+        yield _batch([edge(bucket, False, own)])
+
+
+def _between(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The last row of a bucket with the first one of the next (after_text)."""
+    rows = []
+    for doc_id, text, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after_text"))):
+        rows.append(_compared((doc_id, text, fingerprint(text.encode())), after, fingerprint(after.encode())))
+    return _batch(rows, _KINDS[:7], COMPARED)
+
+
+_LEAST = -(1 << 63)
+
+
+def _cuts(rows: DataFrame, n: int) -> list[tuple[int, int, int]]:
+    """At most n - 1 places (key, hash, salt), in order, that deal rows into about equal parts, however many share a key or a hash.
+
+    Keys that take several quantiles are cut by quantiles of their hashes, and (key, hash) pairs that do so by even parts of the salt.
+    """
+
+    def quantiles(df: DataFrame, col: str, parts: int) -> Column:
+        return F.percentile_approx(col, [i / parts for i in range(1, parts)], 10_000)
+
+    if n < 2:
+        return []
+    times = Counter(rows.agg(quantiles(rows, "key", n)).first()[0] or [])
+    out = [(k, _LEAST, _LEAST) for k in times]
+    hot = {k: t for k, t in times.items() if t > 1}
+    if hot:
+        most = max(hot.values()) + 1
+        for r in rows.where(F.col("key").isin(list(hot))).groupBy("key").agg(quantiles(rows, "hash", most).alias("q")).collect():
+            for h, t in Counter(r["q"]).items():
+                out.append((r["key"], h, _LEAST))
+                out += [(r["key"], h, _LEAST + (1 << 64) * i // t) for i in range(1, t)]
+    return sorted(set(out))
 
 
 def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,31 +161,34 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The next document is that with the next larger id; after the last comes the first, so a lone document follows
     itself. Null texts count as empty. Null ids come before all others; rows with equal ids are ordered by their text's
     hash. An empty table gives an empty result; other columns are ignored.
-    The table is dealt into ranges of ids; each range also gets the row that follows it, so texts are moved once. The driver
-    sees a few ids for each shuffle partition.
+    The table is dealt into ranges of (id, hash, salt), so that rows that share an id, and even rows that share a text too,
+    are spread; texts are moved once. The pairs between ranges are made from their first and last rows. The driver sees a
+    few numbers for each shuffle partition.
     """
     spark = docs.sparkSession
     ready(spark)
-    rows = id_text(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    cuts = np.unique(np.array(cuts or [], dtype=np.int64))
+    rows = id_text(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(_LEAST))).withColumn("hash", F.xxhash64("text"))
+    cuts = _cuts(rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = np.array([c[0] for c in cuts], dtype=np.int64)
 
     @F.pandas_udf("int")
-    def bucket_of(key):
+    def bucket_of(key, hash_, salt):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right"))
-
-    firsts = sorted((r["bucket"], r["key"]) for r in rows.select("key").withColumn("bucket", bucket_of("key")).groupBy("bucket").agg(F.min("key").alias("key")).collect())
-    guests = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
-
-    @F.pandas_udf("int")
-    def guest_of(key):
-        import pandas as pd
-
-        return pd.Series([guests.get(k) for k in key.tolist()], dtype="Int32")
-
-    places = F.array(F.struct(bucket_of("key").alias("bucket"), F.lit(False).alias("guest")), F.struct(guest_of("key").alias("bucket"), F.lit(True).alias("guest")))
-    dealt = rows.withColumn("place", F.explode(places)).where("place.bucket is not null").select("place.*", "key", "doc_id", "text")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", "key", F.xxhash64("text")).mapInArrow(_pairs, COMPARED)
+        own = key.to_numpy()
+        low, high = (np.searchsorted(keys, own, side=side) for side in ("left", "right"))
+        for i in np.flatnonzero(high - low > 1).tolist():  # a key that is cut within
+            high[i] = bisect_right(cuts, (int(own[i]), int(hash_.iloc[i]), int(salt.iloc[i])))
+        return pd.Series(high)
+
+    # a row's place in its file split is the same whenever the split is read again
+    dealt = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())).withColumn("bucket", bucket_of("key", "hash", "salt"))
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "key", "hash", "salt").select("bucket", "doc_id", "text")
+    done = materialize(dealt.mapInArrow(_pairs, _DEALT), "compared")
+    edges = done.where("bucket is not null").select("bucket", "is_first", "doc_id", "text")
+    order = sorted(r["bucket"] for r in edges.where("is_first").select("bucket").collect())
+    before = spark.createDataFrame([(b, order[i - 1]) for i, b in enumerate(order)], "bucket int, before int")
+    firsts = edges.where("is_first").join(F.broadcast(before), "bucket").select(F.col("before").alias("bucket"), F.col("text").alias("after_text"))
+    between = edges.where("not is_first").select("bucket", "doc_id", "text").join(firsts, "bucket").select("doc_id", "text", "after_text")
+    columns = [x.split()[0] for x in COMPARED.split(", ")]
+    return done.where("bucket is null").select(*columns).unionByName(map_arrow(between, _between, COMPARED))

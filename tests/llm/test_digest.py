@@ -1,6 +1,8 @@
 import hashlib
+import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import digest
 
@@ -29,6 +31,44 @@ def test_score():
     assert set(digest.fingerprint(b"")) == {"0"} and digest.likeness(digest.fingerprint(b""), digest.fingerprint(b"ab")) <= 1
 
 
+def slow_print(raw):
+    """The digest by its definition, triplet by triplet."""
+    counts = [0] * 256
+    for n, (a, b, c) in enumerate(((0, 1, 2), (0, 1, 3), (0, 2, 4))):
+        for i in range(len(raw) - c):
+            x = (raw[i + a] << 16 | raw[i + b] << 8 | (raw[i + c] ^ n * 85)) * 2654435761 % (1 << 32)
+            counts[(x ^ x >> 15) * 2246822519 % (1 << 32) >> 24] += 1
+    ordered = sorted(counts)
+    codes = [sum(c > ordered[q] for q in (64, 128, 192)) for c in counts] if any(counts) else [0] * 256
+    packed = bytes(codes[i] | codes[i + 1] << 2 | codes[i + 2] << 4 | codes[i + 3] << 6 for i in range(0, 256, 4))
+    return bytes([min(255, round(8 * math.log2(1 + len(raw))))]).hex() + packed.hex(), [min(255, round(8 * math.log2(1 + len(raw)))), *codes]
+
+
+def slow_likeness(x, y):
+    steps = [abs(a - b) for a, b in zip(x[1:], y[1:])]
+    return max(0.0, 1 - (sum(6 if s == 3 else s for s in steps) + 4 * max(0, abs(x[0] - y[0]) - 1)) / 300)
+
+
+def test_digest_and_likeness_by_definition(texts):
+    raws = [(t or "").encode() for t in texts]
+    prints = [slow_print(r) for r in raws]
+    assert [digest.fingerprint(r) for r in raws] == [p[0] for p in prints]
+    for i in range(len(raws)):
+        assert digest.likeness(prints[i][0], prints[i - 1][0]) == pytest.approx(slow_likeness(prints[i][1], prints[i - 1][1]), abs=1e-12)
+
+
+def test_rows_under_one_id_are_spread(spark):
+    rows = [(7, f"text {i} of one id " * (1 + i % 5)) for i in range(120)] + [(None, "the same text in all of these rows")] * 120 + [(i, f"other {i}") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r["doc_id"], r["edited_sha256"]) for r in digest.compare_next(docs).collect()), key=str)
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    own.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+    assert got == sorted(((r["doc_id"], hashlib.sha256(digest.edited(r["text"], own[(i + 1) % len(own)]["text"]).encode()).hexdigest()) for i, r in enumerate(own)), key=str)
+    keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(digest._LEAST))).withColumn("hash", F.xxhash64("text"))
+    cuts = digest._cuts(keyed, 16)
+    assert sum(k == 7 for k, _, _ in cuts) > 2 and sum(k == digest._LEAST for k, _, _ in cuts) > 2 and cuts == sorted(set(cuts))
+
+
 @pytest.mark.parametrize("partitions", ["4", "1", "13"])
 def test_next_documents(spark, docs, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
