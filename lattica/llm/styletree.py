@@ -1,18 +1,19 @@
 """Main-text extraction with a site style tree (after Yi, Liu and Li 2003).
 
-Pages of one host are merged by style path: the chain of elements (tag, classes, id) above a block. For each path the
+Pages of one host are merged by style path: the chain of elements (tag, classes, id, role) above a block. For each path the
 host's pages give a presentation importance (entropy of the sequences of children that it is used with) and for each
-of its texts a content importance (one less the entropy of the pages that repeat it). A branch whose composite
-importance is low on its host is cut from each page. What an element says about itself is weighed in first: elements
-and names that mark navigation, notices and the like have no importance, and what is inside a main article has some
-from the start. Copies of a page on one host are counted once, so that copied pages don't lose their text.
+of its texts a content importance (one less the entropy of the pages that repeat it). What an element says about itself is
+one more feature of its path: elements and names that mark navigation, notices and the like take importance away, as do
+links where a name is doubtful, and what is inside a main article has some from the start. A branch whose importance is low
+on its host is cut from each page; nothing is cut but by the tree. Copies of a page on one host are counted once, so that
+copied pages don't lose their text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,15 +27,18 @@ from .urlfilter import host_of
 CUT, DECAY = 0.2, 0.9
 #: Share of the importance that a branch or text inside a main article has, however often it is repeated.
 MAIN_PRIOR = 0.1
-#: Elements in a style path; deeper ones count as part of the one above.
-DEEPEST = 60
+#: Importance that elements without main text, telling names and doubtful names take away; the last grows by up to LINKS with the share of linked text.
+NO_TEXT, TELLING, CLEAR, DOUBTFUL, LINKS = 1.0, 0.9, 0.8, 0.3, 0.6
+#: Depth above which only elements that mark themselves are cut: the page and its body always stay.
+PAGE_DEPTH = 2
 #: Low-importance branches up to which the table is broadcast.
 BROADCAST_ROWS = 50_000
 #: What stands between the blocks of a page's text.
 BETWEEN = "\n\n"
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ENDS = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
@@ -43,188 +47,295 @@ _BLOCK = frozenset(
 )
 #: Elements that hold no main text, whatever they are called.
 _NO_TEXT = frozenset(
-    "head script style nav aside footer form noscript template svg iframe object canvas button select textarea input label dialog menu audio video map math noembed noframes xmp title fieldset option".split()
+    "head script style nav aside footer form noscript template svg iframe object canvas button select textarea input label dialog menu audio video map noembed noframes xmp title fieldset option".split()
 )
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"),
 }
 _SCOPES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
-#: Words in class, id or role that mark what isn't main text.
-_NOISE = frozenset(
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs header masthead footer foot sidebar side aside rail banner cookie cookies consent gdpr notice notices alert popup modal overlay ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login search widget widgets toolbar pagination pager skip disclaimer copyright tagcloud teaser outbrain taboola complementary contentinfo form".split()
+#: Words in a class, id or role that mark what isn't main text, in any company.
+_TELLING = frozenset(
+    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs masthead footer sidebar banner cookie cookies consent gdpr modal overlay ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus newsletter subscribe subscription signup toolbar pagination pager disclaimer copyright tagcloud outbrain taboola complementary contentinfo".split()
+)
+#: Words that do so alone or with words of layout, and leave a doubt with others (social-history, side-effects, article-header).
+_WEAK = frozenset("header foot side aside rail notice notices alert popup reply replies respond discussion share sharing social related recommended login search widget widgets skip teaser form".split())
+_LAYOUT = frozenset(
+    "area article articles bar block bottom box btn button buttons col column container content count floating fixed global group icon icons inner item items left link links list main outer page panel post posts right section site small stories sticky tab tabs top widget wp wrap wrapper".split()
 )
 _MAIN = frozenset(("article", "main"))
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Node:
-    tag: str
-    path: str
+    """An element that holds blocks; path is a hash of the styles down to it, branch that of its ancestor just under the body."""
+
+    path: int
     parent: Node | None
-    noise: bool
+    branch: int
+    depth: int
+    noise: float
     main: bool
-    depth: int = 0
     children: list[str] = field(default_factory=list)
+    low: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     node: Node
     text: str
+    linked: float
+
 
+_SEEN: dict[tuple[str, str], tuple[str, float, bool]] = {}
 
-_SEEN: dict[tuple[str, str], tuple[str, bool, bool]] = {}
 
+def name_noise(names: str) -> float:
+    """How much the words of class, id and role names speak against main text."""
+    worst = 0.0
+    for name in names.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words & _TELLING:
+            return TELLING
+        if words & _WEAK:
+            heading = "header" in words and words & {"article", "post", "content", "entry"}
+            worst = max(worst, CLEAR if words <= _WEAK | _LAYOUT and not heading else DOUBTFUL)
+    return worst
 
-def _style(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """(style name, noise, main) of a start tag."""
+
+def _style(tag: str, raw: str) -> tuple[str, float, bool]:
+    """(style name, noise, main) of a start tag; the name tells the other two."""
     if (got := _SEEN.get((tag, raw))) is not None:
         return got
     attrs = {}
     for name, value in _ATTR.findall(raw):
         attrs.setdefault(name.lower(), value.strip("\"'"))
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
-    words = {w.lower() for w in _WORDS.findall(names)}
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""))
-    noise = tag in _NO_TEXT or bool(hidden) or (tag not in ("html", "body", "main") and bool(words & _NOISE))
+    noise = NO_TEXT if tag in _NO_TEXT or hidden else 0.0
+    if tag not in ("html", "body", "main"):
+        noise = max(noise, name_noise(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"))
     main = tag in _MAIN or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
     own = re.sub(r"\d+", "0", ".".join([tag, *sorted(attrs.get("class", "").split())]) + (f"#{attrs['id']}" if attrs.get("id") else ""))
     if len(_SEEN) > 50_000:
         _SEEN.clear()
-    _SEEN[tag, raw] = own, noise, main
+    _SEEN[tag, raw] = f"{own} {noise}{'m' if main else ''}", noise, main
     return _SEEN[tag, raw]
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
+class _Stack:
+    """Open elements, with the places of each tag, so that the nearest one is known without a walk."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.tags, self.blocks = [root], ["#root"], [0]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: Node) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.tags))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+
+    def pop(self) -> None:
+        self.places[self.tags.pop()].pop()
+        self.nodes.pop()
+        if self.blocks[-1] == len(self.tags):
+            self.blocks.pop()
+
+
 def parse(source: str) -> tuple[list[Block], list[Node]]:
-    """Blocks of text in page order with the node that holds them, and all nodes; tolerant of unclosed and stray tags."""
-    root = Node("#root", "", None, False, False)
-    nodes, blocks, stack, held = [root], [], [root], []
+    """Blocks of text in page order with the node that holds them, and all nodes, parents first; tolerant of unclosed and stray tags.
+
+    The time is linear in the page's length, whatever its nesting.
+    """
+    root = Node(0, None, 0, 0, 0.0, False)
+    nodes, blocks, stack = [root], [], _Stack(root)
+    held: list[str] = []
+    linked, in_link, quotes = 0, False, True
+
+    def say(text: str) -> None:
+        nonlocal linked
+        held.append(text)
+        if in_link:
+            linked += len(text)
 
     def flush() -> None:
+        nonlocal linked
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
-            held.clear()
+            raw = "".join(held)
+            text = " ".join(entities.unescape(raw).split())
             if text:
-                at = stack[-1]
-                while at.parent is not None and at.tag not in _BLOCK and not at.noise:
-                    at = at.parent
-                blocks.append(Block(at, text))
+                blocks.append(Block(stack.nodes[-1], text, min(1.0, linked / len(raw))))
+            held.clear()
+            linked = 0
 
     def pop_to(tags: tuple[str, ...], stops: tuple[str, ...] = ()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                flush()
-                del stack[i:]
-                return
-            if stack[i].tag in stops:
-                return
+        at = stack.nearest(tags)
+        if at and at > stack.nearest(stops):
+            flush()
+            while len(stack.tags) > at:
+                stack.pop()
+
+    def end_of_tag(at: int) -> int:
+        nonlocal quotes
+        start = at
+        while quotes:
+            m = _ENDS.search(source, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if source[start : m.start()][-8:].rstrip().endswith("="):  # a quote opens a value only there
+                at = source.find(m[0], at) + 1
+                if not at:
+                    break
+        quotes = False  # a quote is never closed: from here on they are letters
+        return source.find(">", start)
 
     at, n = 0, len(source)
     while at < n:
-        m = _TAG.search(source, at)
-        if m is None:
-            held.append(source[at:])
+        lt = source.find("<", at)
+        if lt < 0:
+            say(source[at:])
             break
-        if m.start() > at:
-            held.append(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if lt > at:
+            say(source[at:lt])
+        if source.startswith(("<!", "<?"), lt):
+            comment = source.startswith("<!--", lt)
+            end = source.find("-->" if comment else ">", lt + (4 if comment else 2))
+            at = n if end < 0 else end + (3 if comment else 1)
+            continue
+        closing = source.startswith("/", lt + 1)
+        m = _NAME.match(source, lt + 1 + closing)
+        if m is None:
+            say("<")
+            at = lt + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+        end = end_of_tag(m.end())
+        if end < 0:
+            say(source[lt:])
+            break
+        at = end + 1
+        tag = m[0].lower()
+        if closing:
+            if tag == "a":
+                in_link = False
+            if tag == "p" and not stack.nearest(("p",)):
                 flush()
             elif tag == "br":
-                held.append(" ")
+                say(" ")
             elif tag in _BLOCK or tag in _NO_TEXT:
                 pop_to((tag,))
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i]
-                        break
-                    if stack[i].tag in _BLOCK:
-                        break
+            elif (place := stack.nearest((tag,))) > stack.blocks[-1]:
+                if stack.nodes[place] is not stack.nodes[place - 1] or stack.nodes[-1] is not stack.nodes[place]:
+                    flush()
+                while len(stack.tags) > place:
+                    stack.pop()
             continue
-        name, noise, main = _style(tag, m[3])
+        raw = source[m.end() : end]
+        name, noise, main = _style(tag, raw)
         block = tag in _BLOCK
         if tag in _VOID:
             if block:
                 flush()
             elif tag == "br":
-                held.append(" ")
+                say(" ")
             continue
+        in_link = in_link or tag == "a"
         if block or noise:
             flush()
             if block:
                 pop_to(("p",), ("td", "th", "table", "button", "object"))
                 if tag in _CLOSES:
-                    own = _CLOSES[tag]
-                    for _ in own:
-                        pop_to(own, _SCOPES.get(tag, ("table",)))
-                while stack[-1].tag not in _BLOCK and not stack[-1].noise and stack[-1].parent is not None:
+                    for _ in _CLOSES[tag]:
+                        pop_to(_CLOSES[tag], _SCOPES.get(tag, ("table",)))
+                while len(stack.tags) - 1 > stack.blocks[-1] and stack.nodes[-1] is stack.nodes[-2]:
                     stack.pop()  # an inline element that was never closed doesn't hold the next block
-        parent = stack[-1]
-        inner_header = tag == "header" and parent.main
-        node = Node(tag, f"{parent.path}/{name}" if block and parent.depth < DEEPEST else parent.path, parent, parent.noise or noise or (tag == "header" and not inner_header), parent.main or main, parent.depth + block)
-        if block:
+        parent = node = stack.nodes[-1]
+        if block or noise:
+            if tag == "header" and not parent.main:
+                noise = max(noise, TELLING)
+            path = _hash(f"{parent.path}/{name}")
+            depth = parent.depth + 1
+            node = Node(path, parent, path if depth <= PAGE_DEPTH + 1 else parent.branch, depth, max(parent.noise, noise), parent.main or main)
             parent.children.append(name)
             nodes.append(node)
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            at = found.end() if found else n
             continue
-        if m[3].endswith("/") and not block:
+        if raw.endswith("/") and not block:
             continue
-        stack.append(node)
+        stack.push(tag, node)
     flush()
     return blocks, nodes
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) >> 1
-
-
 def _page_key(blocks: list[Block]) -> int:
-    """The same for copies of a page: a hash of its main article if that is half of the text that isn't noise, else of all of that."""
-    rest = [b for b in blocks if not b.node.noise]
+    """The same for copies of a page: a hash of its main article if that is half of the text without clear noise, else of all of that."""
+    rest = [b for b in blocks if b.node.noise < CLEAR]
     main = [b for b in rest if b.node.main]
     own = main if 2 * sum(len(b.text) for b in main) >= sum(len(b.text) for b in rest) else rest
     return _hash("\n".join(b.text for b in own))
 
 
+_STYLE = "path long, parent long, branch long, depth int, noise double, main boolean"
+_FEATURE = f"host string, page long, {_STYLE}, kind string, feat long, chars long, linked double"
+
+
+def page_features(blocks: list[Block], nodes: list[Node]) -> list[tuple]:
+    """Distinct (node, kind, feat, chars, linked chars) of a page: P for a sequence of children, C for a text.
+
+    Of a branch of clear noise only its top counts, once, without what is in it: nothing below can save it.
+    """
+    own: dict[tuple, tuple] = {}
+    for n in nodes:
+        if n.noise < CLEAR:
+            own[n.path, "P", _hash(" ".join(n.children))] = n, 0, 0.0
+        elif n.parent is None or n.parent.noise < CLEAR:
+            own[n.path, "P", 0] = n, 0, 0.0
+    for b in blocks:
+        if b.node.noise < CLEAR:
+            own[b.node.path, "C", _hash(b.text)] = b.node, len(b.text), b.linked * len(b.text)
+    return [(n, kind, feat, chars, linked) for (_, kind, feat), (n, chars, linked) in own.items()]
+
+
 def _features(pages: DataFrame) -> DataFrame:
-    """A row per page and distinct (style path, kind, feature): P for a sequence of children, C for a text; page is equal for copies."""
+    """page_features of every page; page is equal for copies."""
+    names = [x.split()[0] for x in _FEATURE.split(", ")]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.float64())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, keys, paths, kinds, feats, mains = [], [], [], [], [], []
+        rows = []
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             blocks, nodes = parse(source or "")
             key = _page_key(blocks)
-            own = {(n.path, "P", _hash(" ".join(n.children))): n.main for n in nodes if not n.noise}
-            own |= {(b.node.path, "C", _hash(b.text)): b.node.main for b in blocks if not b.node.noise}
-            for (path, kind, feat), main in own.items():
-                hosts.append(host)
-                keys.append(key)
-                paths.append(path)
-                kinds.append(kind)
-                feats.append(feat)
-                mains.append(main)
-        cols = (hosts, pa.string()), (keys, pa.int64()), (paths, pa.string()), (kinds, pa.string()), (feats, pa.int64()), (mains, pa.bool_())
-        return pa.record_batch([pa.array(c, k) for c, k in cols], ["host", "page", "path", "kind", "feat", "main"])
+            rows += [(host, key, n.path, n.parent.path if n.parent else None, n.branch, n.depth, n.noise, n.main, *rest) for n, *rest in page_features(blocks, nodes)]
+        cols = zip(*rows) if rows else [[] for _ in kinds]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    return map_arrow(pages, run, _FEATURE)
 
-    return map_arrow(pages, run, "host string, page long, path string, kind string, feat long, main boolean")
 
+def composite(nodes: dict[str, tuple[float | None, float | None]], parent_of: Callable | None = None, depth_of: Callable | None = None) -> dict[str, float]:
+    """Importance of each path of a host from (presentation, content) importance of its own and of what is below it.
 
-def composite(nodes: dict[str, tuple[float | None, float | None]]) -> dict[str, float]:
-    """Importance of each path of a host from (presentation, content) importance of its own and of what is below it."""
+    Paths are texts with slashes unless parent_of and depth_of tell where they belong.
+    """
+    parent_of, depth_of = parent_of or (lambda p: p.rpartition("/")[0] if p else None), depth_of or (lambda p: p.count("/"))
     below: dict[str, list[str]] = {}
     for path in nodes:
-        if path:
-            below.setdefault(path.rpartition("/")[0], []).append(path)
+        below.setdefault(parent_of(path), []).append(path)
     out: dict[str, float] = {}
-    for path in sorted(nodes, key=lambda p: -p.count("/")):
+    for path in sorted(nodes, key=lambda p: -depth_of(p)):
         shown, said = nodes[path]
         parts = [out[c] for c in below.get(path, ())]
         if said is not None:
@@ -240,63 +351,80 @@ def composite(nodes: dict[str, tuple[float | None, float | None]]) -> dict[str,
     return out
 
 
-def with_prior(value, main: bool):
-    """An importance (number or column), weighed with what a main article has from the start."""
-    return MAIN_PRIOR + (1 - MAIN_PRIOR) * value if main else value
+def importance(value, main, noise, linked):
+    """A path's or a text's final importance from its statistics (value) and what its elements say."""
+    doubt = noise + LINKS * linked if 0 < noise < CLEAR else noise
+    return (1 - min(doubt, 1.0)) * (MAIN_PRIOR + (1 - MAIN_PRIOR) * value if main else value)
+
+
+def cut_of(styles: list[dict]) -> list[int]:
+    """Paths of one branch of a host's tree at which it is cut; what is below a cut path isn't listed."""
+    own = {s["path"]: s for s in styles}
+    stats = {p: (s["shown"], s["said"]) for p, s in own.items() if s["noise"] < CLEAR}
+    values = composite(stats, lambda p: own[p]["parent"], lambda p: own[p]["depth"])
+    gone, out = set(), []
+    for path in sorted(own, key=lambda p: own[p]["depth"]):
+        s = own[path]
+        if s["parent"] in gone:
+            gone.add(path)
+        elif (s["depth"] > PAGE_DEPTH or s["noise"] >= CLEAR) and importance(values.get(path, 1.0), s["main"], s["noise"], s["linked"] or 0.0) <= CUT:
+            gone.add(path)
+            out.append(path)
+    return out
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
     """host, path, feat: branches of each host's style tree that aren't important; feat null for a whole branch."""
-    keys = ["host", "path", "kind", "feat"]
-    once = _features(pages).groupBy("page", *keys).agg(F.max("main").alias("main"))
-    counts = once.groupBy(*keys).agg(F.count("*").alias("n"), F.max("main").alias("main"))
+    keys, style = ["host", "path", "kind", "feat"], ["parent", "branch", "depth", "noise", "main"]
+    firsts = [F.first(c).alias(c) for c in style]
+    once = _features(pages).groupBy("page", *keys).agg(*firsts, F.max("chars").alias("chars"), F.max("linked").alias("linked"))
+    counts = once.groupBy(*keys).agg(F.count("*").alias("n"), *firsts, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     counts = materialize(counts, "styles")
     # one use more than counted, which repeats nothing: few uses say little, and what has a single one is important
     most = F.log(F.col("m") + 1)
     shown = 1 - F.col("same") / F.col("m") / most
     said = 1 - F.col("repeats") / most
     uses, log_n = F.when(F.col("kind") == "P", F.col("n")), F.log("n")
-    own = counts.groupBy("host", "path").agg(F.sum(uses).alias("m"), F.sum(uses * log_n).alias("same"), F.avg(F.when(F.col("kind") == "C", log_n)).alias("repeats"), F.max("main").alias("main"))
-    own = own.where(F.col("m") >= 2).select("host", "path", "m", shown.alias("shown"), said.alias("said"), "main")
+    own = counts.groupBy("host", "path").agg(
+        F.sum(uses).alias("m"), F.sum(uses * log_n).alias("same"), F.avg(F.when(F.col("kind") == "C", log_n)).alias("repeats"), *firsts, F.try_divide(F.sum("linked"), F.sum("chars")).alias("linked")
+    )
+    # paths used once have importance 1, and count for no other
+    own = own.where("m >= 2 or noise > 0").select("host", "path", *style, "m", shown.alias("shown"), said.alias("said"), "linked")
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, paths = [], []
         for host, styles in zip(batch.column("host").to_pylist(), batch.column("styles").to_pylist()):
-            main = {s["path"] for s in styles if s["main"]}
-            for path, value in composite({s["path"]: (s["shown"], s["said"]) for s in styles}).items():
-                if with_prior(value, path in main) <= CUT and path.count("/") > 2:  # the page and its body always stay
-                    hosts.append(host)
-                    paths.append(path)
-        return pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
-
-    # a host's distinct style paths, not its pages
-    branches = map_arrow(own.groupBy("host").agg(F.collect_list(F.struct("path", "shown", "said", "main")).alias("styles")), judge, "host string, path string")
-    alone = 1 - log_n / most
+            for path in cut_of(styles):
+                hosts.append(host)
+                paths.append(path)
+        return pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.int64())], ["host", "path"])
+
+    # distinct style paths, not pages, of what stands under one element below a host's body
+    told = F.struct("path", "parent", "depth", "noise", "main", "shown", "said", "linked")
+    branches = map_arrow(own.groupBy("host", "branch").agg(F.collect_list(told).alias("styles")), judge, "host string, path long")
     repeated = counts.where("kind = 'C' and n > 1").join(own.select("host", "path", "m"), ["host", "path"])
-    repeated = repeated.where(F.when(F.col("main"), with_prior(alone, True)).otherwise(alone) <= CUT).select("host", "path", "feat")
+    alone = 1 - log_n / most
+    value = F.when(F.col("main"), MAIN_PRIOR + (1 - MAIN_PRIOR) * alone).otherwise(alone)
+    doubt = F.when(F.col("noise") > 0, F.least(F.lit(1.0), F.col("noise") + LINKS * F.col("linked") / F.greatest("chars", F.lit(1)))).otherwise(0.0)
+    repeated = repeated.where((1 - doubt) * value <= CUT).select("host", "path", "feat")
     return branches.select("host", "path", F.lit(None).cast("long").alias("feat")).unionByName(repeated)
 
 
-def main_text(source: str, branches: set[str], repeated: set[tuple[str, int]]) -> str:
-    """Blocks of a page that stay, joined by two line ends: all that aren't noise, low or repeated, in its article or outside."""
-    blocks, _ = parse(source)
-    rest = [b for b in blocks if not b.node.noise]
-    cut: dict[str, bool] = {}
-
-    def low(path: str) -> bool:
-        if path not in cut:
-            cut[path] = path in branches or ("/" in path and low(path.rpartition("/")[0]))
-        return cut[path]
-
-    return BETWEEN.join(b.text for b in rest if not low(b.node.path) and (b.node.path, _hash(b.text)) not in repeated)
+def main_text(source: str, branches: set[int], repeated: set[tuple[int, int]]) -> str:
+    """Blocks of a page that stay, joined by two line ends: all that are in no low branch and aren't low themselves, in its article or outside."""
+    blocks, nodes = parse(source)
+    for n in nodes:
+        n.low = n.path in branches or (n.parent is not None and n.parent.low)
+    return BETWEEN.join(b.text for b in blocks if not b.node.low and (b.node.path, _hash(b.text)) not in repeated)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
-    Null html is empty and gives an empty text; pages without a host share the host ''. Every host and
-    style path with two uses has statistics; what all pages of a host say goes from four different pages on, or five in an article. Repeated rows come back as often; an
-    empty table gives an empty result; other columns are ignored.
+    Null html is empty and gives an empty text; pages without a host share the host ''. Every host and style path with two
+    uses has statistics; what all pages of a host say goes from four different pages on, or five in an article. Elements
+    that mark themselves as no main text go from the first page on. Repeated rows come back as often; an empty table gives
+    an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
     ready(spark)
