@@ -10,7 +10,6 @@ each distinct run of ORDER + 1 bytes and once for each distinct word, and summed
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -24,7 +23,7 @@ from .common import id_text, map_arrow, ready
 ORDER = 4
 #: Labelled rows per language that the statistics are fitted on, and the longest text among them, in characters, as long as a label has enough shorter ones.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
-#: What LETTERS finds, for Spark.
+#: A letter, for Spark.
 _HAS_LETTERS = r"\p{L}"
 #: A text is of a language if it takes at most MARGIN times the bits a byte that this share of the language's sampled texts stay within.
 MARGIN, WITHIN = 3.0, 0.99
@@ -34,13 +33,24 @@ LANGUAGES = 500
 KEPT = 120_000
 
 
-def _other_numbers() -> str:
-    """What counts as a word character in a pattern but is neither a letter nor a decimal digit: fractions, Roman numeral signs and the like."""
-    return "".join(re.escape(c) for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Runs of letters and of number signs such as fractions and Roman numerals, which word_runs() takes out.
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def _letters_only(run: str) -> list[str]:
+    return "".join(c if c.isalpha() else " " for c in run).split()
+
+
+def word_runs(texts: list[str | None]) -> list[list[str]]:
+    """Of each text, lowered, the runs of letters (Unicode category L).
+
+    The pattern takes other numbers for letters, too: of the distinct runs, those that hold any are taken apart.
+    """
+    found = [_RUNS.findall(t.lower()) if t else [] for t in texts]
+    odd = {w: _letters_only(w) for w in set().union(*found) if not w.isalpha()}
+    return [[p for w in f for p in odd.get(w, (w,))] for f in found] if odd else found
 
 
-#: Runs of letters (Unicode category L).
-LETTERS = re.compile(rf"[^\W\d_{_other_numbers()}]+")
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -148,7 +158,7 @@ class Model:
         return out
 
     def _score(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        found = word_runs(texts)
         if not self.languages:
             return [("und", 0.0, False)] * len(texts)
         if len(self.words) > KEPT:
@@ -207,7 +217,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages, trees, limits = [], [], []
     sample = rows.select("lang", "nth", "text").sortWithinPartitions("lang", "nth").toLocalIterator()
     for lang, own in groupby(sample, key=lambda r: r["lang"]):
-        said = [c for r in own if (c := Counter(w.encode() for w in LETTERS.findall(r["text"].lower())))]
+        said = [c for r in own if (c := Counter(w.encode() for w in word_runs([r["text"]])[0]))]
         if said:
             languages.append(lang)
             trees.append(Tree.fit(_total(said)))
@@ -278,7 +288,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
 
         own = [None if t is None else t for t in text]
         if not model_known:
-            return pd.Series([bool(t and LETTERS.search(t)) for t in own])
+            return pd.Series([bool(f) for f in word_runs(own)])
         return pd.Series([known and score >= least for _, score, known in shared.value.judged(own)])
 
     model_known = bool(model.languages)

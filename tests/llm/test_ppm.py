@@ -112,7 +112,7 @@ def test_number_signs_are_no_letters(spark):
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([*(("und noch ein wort", "de"), ("and another word", "en")) * 20, ("½ ²", None), ("Ⅳ ⅷ ①", None), ("12 ½x", None)])], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in ppm.identify(docs).collect()}
     assert got[40] == got[41] == "und" and got[42] != "und"
-    assert ppm.LETTERS.findall("a½b Ⅳ é_1 ß²c 漢字 ªº") == ["a", "b", "é", "ß", "c", "漢字", "ªº"]
+    assert ppm.word_runs(["a½b Ⅳ é_1 ß²c 漢字 ªº", None, "", "½", "X y"]) == [["a", "b", "é", "ß", "c", "漢字", "ªº"], [], [], [], ["x", "y"]]
 
 
 def test_labels_under_few_ids_are_learned(spark, monkeypatch):
