@@ -399,3 +399,8 @@ def triple(a, b, c) -> Column:
 
 def swapped(p: Column) -> Column:
     return F.struct(p["second"].alias("first"), p["first"].alias("second"))
+
+
+def enum_values(*names: str) -> Column:
+    """All entries of an enumeration in order, with their places."""
+    return F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("name")) for i, n in enumerate(names)])

@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lattica.tables import ready
 
 # --- lexing ----------------------------------------------------------------------------------------------------------
+#: These words are told from other names.
 KEYWORDS = {
-    "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
+    "go": "break case chan const continue default defer else fallthrough false for func go goto if import interface iota map nil package range return select struct switch true type var",
     "kotlin": "as break class continue do else false for fun if in interface is null object package return super this throw true try typealias val var when while",
-    "swift": "associatedtype break case catch class continue default defer deinit do else enum extension fallthrough false for func guard if import in init inout is let nil operator private protocol public repeat return self static struct subscript super switch throw throws true try typealias var where while",
-    "ts": "any as async await boolean break case catch class const continue default delete do else enum export extends false finally for from function if implements import in instanceof interface let new null number of private protected public readonly return static string super switch this throw true try type typeof undefined var void while",
+    "swift": "Any Self as associatedtype break case catch class continue convenience default defer deinit do else enum extension fallthrough false fileprivate final for func guard if import in init inout internal is lazy let mutating nil nonmutating open operator override private protocol public repeat required return self static struct subscript super switch throw throws true try typealias unowned var weak where while",
+    "ts": "abstract any as async await boolean break case catch class const continue declare default delete do else enum export extends false finally for from function get if implements import in instanceof interface let module namespace never new null number of private protected public readonly return set static string super switch this throw true try type typeof undefined unknown var void while yield",
 }
 #: Kinds in the order they are tried; newlines are tokens, other white space isn't.
 _KINDS = (
@@ -80,6 +81,17 @@ def word_tokens(text: str) -> list[str]:
     return [v for k, v, _, _ in scan(text) if k not in ("comment", "newline")]
 
 
+def tokenized(df: DataFrame, text: str, name: str = "tokens") -> DataFrame:
+    """df with word_tokens() of each text, null for null."""
+    ready(df.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else word_tokens(t) for t in rows], dtype=object)
+
+    return df.withColumn(name, run(text))
+
+
 _NO_SPACE_BEFORE, _NO_SPACE_AFTER = frozenset(", ; ) ] . : ++ -- ? !".split()), frozenset("( [ . ! &".split())
 
 
@@ -104,6 +116,17 @@ def detokenize(tokens: Sequence[str]) -> str:
     return out.strip()
 
 
+def detokenized(df: DataFrame, tokens: str, name: str = "text") -> DataFrame:
+    """df with detokenize() of each array of tokens, null for null."""
+    ready(df.sparkSession)
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else detokenize(list(t)) for t in rows], dtype=object)
+
+    return df.withColumn(name, run(tokens))
+
+
 # --- statements ------------------------------------------------------------------------------------------------------
 #: Tokens behind which a line goes on.
 CONTINUES = tuple("( [ { , ; : . + - * / % & | ^ = == != < > <= >= && || ! := += -= *= /= <- -> =>".split())
@@ -207,7 +230,7 @@ def unfold_table(chunks: DataFrame, key: str, tokens: str = "tokens") -> DataFra
 
 
 # --- placeholders ----------------------------------------------------------------------------------------------------
-#: String bodies that join other texts and stay as they are.
+#: String bodies that join other texts and stay as they are. Results depend on them.
 GLUE = ("", " ", "\\n", "\\t", ", ", ": ", " = ", "=", " - ", " + ")
 
 
@@ -389,6 +412,13 @@ def made_up_pairs(spark, n: int, seed: int = 0, templates: Sequence[tuple[int, s
     return rows.select("i", source.alias("source"), target.alias("target"))
 
 
+def union(**sources: DataFrame) -> DataFrame:
+    """Rows of all sources, by column names, with the source's name in `origin`; repeated rows stay."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("origin", F.lit(name)) for name, df in sources.items()])
+
+
 # --- splits and scores -----------------------------------------------------------------------------------------------
 def canonical(*texts: Column) -> Column:
     """What variants of a pair have in common: its texts with every placeholder number and run of white space made equal."""
@@ -428,15 +458,23 @@ def case_score(coverage: Column, compiles: Column, matches: Column) -> Column:
 
 
 def run_summary(cases: DataFrame) -> DataFrame:
-    """Totals over case results (name, chunks, confident, cj_ok, run_ok): counts, coverage, mean score and failing names."""
+    """Totals over case results (name, chunks, confident, compiled, matched): counts, coverage, mean score and how many fail."""
     share = F.when(F.col("chunks") > 0, F.col("confident") / F.col("chunks")).otherwise(0.0)
-    failing = F.array_sort(F.collect_list(F.when(~(F.coalesce("cj_ok", F.lit(False)) & F.coalesce("run_ok", F.lit(False))), F.col("name"))))
     return cases.agg(
-        F.count("*").alias("cases"), F.count_if("cj_ok").alias("compiled"), F.count_if("run_ok").alias("matched"), F.sum("chunks").alias("chunks"), F.sum("confident").alias("confident"),
-        (F.sum("confident") / F.nullif(F.sum("chunks"), F.lit(0))).alias("coverage"), F.avg(case_score(share, F.col("cj_ok"), F.col("run_ok"))).alias("score"), failing.alias("failing"),
+        F.count("*").alias("cases"), F.count_if("compiled").alias("compiled"), F.count_if("matched").alias("matched"), F.sum("chunks").alias("chunks"), F.sum("confident").alias("confident"),
+        (F.sum("confident") / F.nullif(F.sum("chunks"), F.lit(0))).alias("coverage"), F.avg(case_score(share, F.col("compiled"), F.col("matched"))).alias("score"), F.count_if(_fails()).alias("n_failing"),
     )
 
 
+def _fails() -> Column:
+    return ~(F.coalesce("compiled", F.lit(False)) & F.coalesce("matched", F.lit(False)))
+
+
+def failing_cases(cases: DataFrame) -> DataFrame:
+    """The cases that don't compile or don't match, a row each."""
+    return cases.where(_fails())
+
+
 # --- declarations ----------------------------------------------------------------------------------------------------
 def synthesize_init(classes: DataFrame, fields: DataFrame) -> DataFrame:
     """classes (doc, cls, has_init) with init: a constructor from its fields (doc, cls, i, name, type), null where there is one."""
@@ -601,16 +639,16 @@ def merge_projects(files: DataFrame, project: str = "project", path: str = "path
     has_main = F.col(source).rlike(r"(?m)^\s*(fun|func)\s+main\s*\(").cast("int")
     lines = F.split(F.col(source), "\n")
     is_import = lambda line: line.rlike(r"^\s*import\s")
-    rows = files.select(project, F.col(path).alias("__p"), has_main.alias("__m"), F.transform(F.filter(lines, is_import), F.trim).alias("__i"), F.array_join(F.filter(lines, lambda line: ~is_import(line)), "\n").alias("__b"))
+    rows = files.select(project, F.col(path).alias("__p"), has_main.alias("__m"), F.transform(F.filter(lines, is_import), lambda line: F.trim(line)).alias("__i"), F.array_join(F.filter(lines, lambda line: ~is_import(line)), "\n").alias("__b"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__m", "__p", "__b"))), lambda s: s["__b"]), "\n")
     return rows.groupBy(project).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__i")))).alias("imports"), body.alias("body"))
 
 
 def map_imports(imports: DataFrame, table: DataFrame, name: str = "import", prefix: str = "prefix", ordinal: str = "i") -> DataFrame:
     """imports with the first entry of table whose prefix the name starts with."""
-    from .joins import longest_prefix
+    from .joins import first_prefix
 
-    return longest_prefix(imports, name, table, prefix, ordinal)
+    return first_prefix(imports, name, table, prefix, ordinal)
 
 
 # --- placeholder shapes ----------------------------------------------------------------------------------------------

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lattica.tables import ready
+
 
 def lookup_default(left: DataFrame, right: DataFrame, key: str, value: str, default) -> DataFrame:
     """left with right's value, default where there is none or it is null. right has a row per key."""
@@ -39,18 +42,17 @@ def satisfies(owners: DataFrame, sets: DataFrame, owner: str, group: str, member
     return met.join(sizes, group).where("__n = __all").select(owner, group)
 
 
-def longest_prefix(rows: DataFrame, text: str, table: DataFrame, prefix: str, ordinal: str) -> DataFrame:
+def first_prefix(rows: DataFrame, text: str, table: DataFrame, prefix: str, ordinal: str) -> DataFrame:
     """rows with the fields of the first of table's rows (by ordinal) whose prefix the text starts with; nulls without one.
 
-    Instead of testing every pair, a text's own prefixes of the lengths that the table has are looked up.
+    Instead of testing every pair, a distinct text's own prefixes of the lengths that the table has are looked up.
     """
-    lengths = table.select(F.char_length(prefix).alias("__len")).distinct()
-    sizes = [r[0] for r in lengths.collect()]  # distinct lengths of a mapping table's prefixes
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    cuts = F.array(*[F.when(F.char_length(text) >= n, F.substring(text, 1, n)) for n in sizes]) if sizes else F.array().cast("array<string>")
-    hits = keyed.select("__row", F.explode(F.array_distinct(F.array_compact(cuts))).alias(prefix)).join(table, prefix)
-    best = hits.groupBy("__row").agg(F.min_by(F.struct(*table.columns), F.col(ordinal)).alias("__hit"))
-    return keyed.join(best, "__row", "left").select(*rows.columns, *[F.col("__hit")[c].alias(c) for c in table.columns])
+    sizes = sorted(r[0] for r in table.select(F.char_length(prefix)).distinct().collect())  # a mapping table's distinct lengths
+    own = rows.select(F.col(text).alias("__text")).where("__text is not null").distinct()
+    cuts = F.array(*[F.when(F.char_length("__text") >= n, F.substring("__text", 1, n)) for n in sizes]) if sizes else F.array().cast("array<string>")
+    hits = own.select("__text", F.explode(F.array_distinct(F.array_compact(cuts))).alias(prefix)).join(table, prefix)
+    best = hits.groupBy("__text").agg(F.min_by(F.struct(*table.columns), F.col(ordinal)).alias("__hit"))
+    return rows.join(best, F.col(text) == F.col("__text"), "left").select(*rows.columns, *[F.col("__hit")[c].alias(c) for c in table.columns])
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
@@ -68,35 +70,50 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: st
     return points.withColumn("__cell", F.floor(F.col(at) / width)).join(cells, "__cell").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__cell")
 
 
+def theta(left: DataFrame, right: DataFrame, condition: Column, most: int = 10_000) -> DataFrame:
+    """Pairs that meet a condition without an equality: right is counted, broadcast if it has at most `most` rows, and refused beyond.
+
+    Where a condition bounds a distance, range_join() deals both sides into cells and has no such limit.
+    """
+    if right.limit(most + 1).count() > most:
+        raise ValueError(f"a theta join's right side has more than {most} rows")
+    return left.join(F.broadcast(right), condition)
+
+
+#: Needles that one automaton takes.
+MOST_NEEDLES = 100_000
+
+
 def containment(docs: DataFrame, needles: DataFrame, text: str, needle_id: str, needle: str) -> DataFrame:
     """docs whose text holds a needle (letter case aside), with the least id of those.
 
-    Needles are few and known beforehand (a benchmark): their table is taken as one literal array, so that documents are
-    read once and not paired with needles.
+    Needles are few and known beforehand (a benchmark): they are counted first, more than MOST_NEEDLES are an error, and then
+    broadcast; each task builds one automaton and reads its documents once, so that none is paired with needles.
     """
-    rows = [(r[0], r[1].lower()) for r in needles.select(needle_id, needle).where(F.length(F.trim(needle)) > 0).collect()]
-    if len(rows) > 100_000:
-        raise ValueError("too many needles for one pass; split them")
+    spark = docs.sparkSession
+    ready(spark)
+    own = needles.where(F.length(F.trim(needle)) > 0).groupBy(F.lower(needle).alias("t")).agg(F.min(needle_id).alias("i"))
+    n = own.limit(MOST_NEEDLES + 1).count()
+    if n > MOST_NEEDLES:
+        raise ValueError(f"more than {MOST_NEEDLES} needles for one pass; split them")
+    shared = spark.sparkContext.broadcast([(r["t"], r["i"]) for r in own.limit(MOST_NEEDLES).collect()])
 
     @F.pandas_udf("long")
-    def least(texts):
+    def least(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
-        import pandas as pd
 
         automaton = ahocorasick.Automaton()
-        own: dict[str, int] = {}
-        for i, t in rows:
-            own[t] = min(i, own.get(t, i))
-        for t, i in own.items():
-            automaton.add_word(t, i)
-        if own:
+        for t, i in shared.value:
+            automaton.add_word(t, min(i, automaton.get(t, i)))
+        if shared.value:
             automaton.make_automaton()
-        find = lambda t: min((i for _, i in automaton.iter(t.lower())), default=None) if own and t else None
-        return pd.Series([find(t) for t in texts], dtype="Int64")
+        find = lambda t: min((i for _, i in automaton.iter(t)), default=None) if shared.value and t else None
+        for texts in parts:
+            yield pd.Series([find(t) for t in texts], dtype="Int64")
 
-    return docs.withColumn("least_item", least(F.col(text))).where("least_item is not null")
+    return docs.withColumn("least_item", least(F.lower(text))).where("least_item is not null")
 
 
 def hash_split(df: DataFrame, identity: Column, share: float, name: str = "held_out") -> DataFrame:
     """A flag that rows with equal identity share, so that variants of a held-out row are held out with it."""
-    return df.withColumn(name, F.pmod(F.crc32(identity.cast("binary")), F.lit(10_000)) < int(share * 10_000))
+    return df.withColumn(name, F.conv(F.substring(F.md5(identity.cast("binary")), 1, 8), 16, 10).cast("long") % 10_000 < int(share * 10_000))

@@ -155,12 +155,14 @@ def reversed_(df: DataFrame, ordinal: str) -> DataFrame:
 
 def statistics(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """n, mean, median, population variance, range, and the smallest of the most frequent values."""
-    freq = df.groupBy(*keys, col).count()
-    mode = freq.groupBy(*keys).agg(F.max_by(F.col(col), F.struct(F.col("count"), -F.col(col))).alias("mode"))
-    out = df.groupBy(*keys).agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), F.percentile(col, F.lit(0.5)).alias("median"), F.var_pop(col).alias("variance"), (F.max(col) - F.min(col)).alias("spread")
-    )
-    return out.join(mode, list(keys)) if keys else out.join(F.broadcast(mode))
+    freq = df.where(F.col(col).isNotNull()).groupBy(*keys, col).count()
+    # the median from counts by value: a running sum over distinct values, sorted outside memory
+    up = Window.partitionBy(*keys).orderBy(col)
+    ranked = freq.withColumn("__upto", F.sum("count").over(up)).withColumn("__n", F.sum("count").over(Window.partitionBy(*keys)))
+    place = lambda side: F.min(F.when(F.col("__upto") > side((F.col("__n") - 1) / 2), F.col(col)))
+    middle = ranked.groupBy(*keys).agg(((place(F.floor).cast("double") + place(F.ceil).cast("double")) / 2).alias("median"), F.max_by(F.col(col), F.struct(F.col("count"), -F.col(col))).alias("mode"))
+    out = df.groupBy(*keys).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.var_pop(col).alias("variance"), (F.max(col) - F.min(col)).alias("spread"))
+    return out.join(middle, list(keys)) if keys else out.join(F.broadcast(middle))
 
 
 def equal_width_histogram(df: DataFrame, col: str, buckets: int) -> DataFrame:

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lattica.functions import collections as C, scalars as S
-from lattica.operators import corpus, graphs, joins, memory, ordered, scopes, state, vectors
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of (read) under its name; read(table) gives a DataFrame."""
+from lattica.operators import corpus, graphs, joins, ordered, scopes, state, vectors
 
-    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+from .registry import ORACLE_SQL, QUERIES, query
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 def _orders_with_quantities(read) -> DataFrame:
     """o, xs: each order's whole quantities in order of line numbers."""
@@ -363,7 +349,7 @@ def satisfies_all(read):
 )
 def longest_prefix(read):
     table = read("region").select(F.col("r_regionkey").alias("i"), "r_name", F.substring("r_name", 1, 2).alias("prefix"))
-    return joins.longest_prefix(read("nation").select("n_nationkey", "n_name"), "n_name", table, "prefix", "i").select("n_nationkey", "r_name")
+    return joins.first_prefix(read("nation").select("n_nationkey", "n_name"), "n_name", table, "prefix", "i").select("n_nationkey", "r_name")
 
 
 @query(
@@ -398,11 +384,13 @@ def first_appearance_ids(read):
     return named.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(rank).alias("sum_ranks"), F.max(rank).alias("last_rank"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_wrong, " + "count(*) AS n_tokens FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM documents)")
+@query("SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ')) AS restored, CAST(len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x <> '_'))) AS BIGINT) AS n_placeholders FROM documents WHERE regexp_matches(text, '[A-Za-z]')")
 def anonymize_roundtrip(read):
     named = corpus.anonymize(_document_tokens(read).withColumnRenamed("token", "value"), ["doc_id"], "pos")
-    back = corpus.deanonymize(named, corpus.placeholder_map(named, ["doc_id"]), ["doc_id"])
-    return back.agg(F.count_if(F.col("restored") != F.col("value")).alias("n_wrong"), F.count("*").alias("n_tokens"))
+    mapping = corpus.placeholder_map(named, ["doc_id"])
+    back = ordered.group_collect(corpus.deanonymize(named, mapping, ["doc_id"]), ["doc_id"], "restored", "pos", "words")
+    counts = mapping.groupBy("doc_id").agg(F.count("*").alias("n_placeholders"))
+    return back.join(counts, "doc_id").select("doc_id", F.md5(F.array_join("words", " ")).alias("restored"), "n_placeholders")
 
 
 @query(
@@ -439,34 +427,19 @@ def token_accuracy(read):
     return rows.select("conv_id", "turn", corpus.token_accuracy(F.col("a"), F.col("b")).alias("r")).select("conv_id", "turn", "r.*")
 
 
-@query(None)
-def canonical_split(read):
-    pairs = read("conversations").select("conv_id", "turn", F.col("role").alias("go"), F.col("text").alias("cj"))
-    train, held = corpus.split_pairs(pairs, "go", "cj", 0.1)
-    leaks = held.count() - corpus.without_leaks(held, train, "go", "cj").count()
-    return corpus.without_leaks(train, held, "go", "cj").agg(F.count("*").alias("n_train"), F.lit(leaks).cast("long").alias("n_leaks"))
-
-
-@query(None)
-def segment_by_depth(read):
-    """Code-like chunks of whole documents: (a, b) marks stand for brackets in prose, so cuts are at newlines."""
-    tokens = corpus.lex(read("documents"), "doc_id", "text")
-    return corpus.segment(tokens, "doc_id").groupBy("doc_id").agg((F.max("chunk") + 1).alias("n_chunks"), F.count("*").alias("n_tokens"))
-
-
 @query(
-    "SELECT n_regionkey AS project, string_agg(n_name, '\n' ORDER BY CAST(n_nationkey % 4 = 0 AS INTEGER), n_name) AS body FROM nation GROUP BY 1"
+    """
+SELECT p_size AS project, array_to_string(list_sort(list_distinct(list('import lib' || p_partkey % 5))), ';') AS imports, string_agg(body, chr(10) ORDER BY main, path) AS body
+FROM (SELECT p_size, p_partkey, p_name || '/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS path, CAST(p_partkey % 4 = 0 AS INTEGER) AS main,
+             CASE WHEN p_partkey % 4 = 0 THEN 'fun main() {}' || chr(10) ELSE '' END || p_name AS body FROM part) GROUP BY 1
+"""
 )
 def project_merge(read):
-    body = F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("import a.b\nfun main() {}\n"), "n_name")).otherwise(F.concat(F.lit("import z\n"), "n_name"))
-    merged = corpus.merge_projects(read("nation").select(F.col("n_regionkey").alias("project"), F.col("n_name").alias("path"), body.alias("source")))
-    return merged.select("project", F.replace("body", F.lit("fun main() {}\n"), F.lit("")).alias("body"))
-
-
-@query(None)
-def route_and_rewrite(read):
-    made = corpus.made_up_pairs(read("region").sparkSession, 2000, 5)
-    return made.select("i", corpus.route(F.col("source")).alias("route"), corpus.rewrite(F.col("source")).alias("rewritten"), "target")
+    key = F.col("p_partkey")
+    body = F.concat(F.lit("import lib"), (key % 5).cast("string"), F.lit("\n"), F.when(key % 4 == 0, F.lit("fun main() {}\n")).otherwise(F.lit("")), F.col("p_name"))
+    path = F.concat("p_name", F.lit("/"), F.lpad(key.cast("string"), 9, "0"))
+    merged = corpus.merge_projects(read("part").select(F.col("p_size").alias("project"), path.alias("path"), body.alias("source")))
+    return merged.select("project", F.array_join("imports", ";").alias("imports"), "body")
 
 
 @query(
@@ -477,26 +450,12 @@ def scope_fixes(read):
     return scopes.apply(read("part").select("p_partkey", text.alias("text")), "text").select("p_partkey", "fixed")
 
 
-@query(None)
-def associative_translation(read):
-    """Made-up pairs as memory, asked with pairs of another seed whose names have other numbers."""
-
-    def anonymous(n: int, seed: int, x: str, y: str) -> DataFrame:
-        one = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\bx\d+\b", x), r"\by\d+\b", y), r"\b\d+\b", "NUM0")
-        return corpus.made_up_pairs(read("region").sparkSession, n, seed).select("i", one(F.col("source")).alias("source"), one(F.col("target")).alias("target"))
-
-    known = anonymous(2000, 5, "ID0", "ID1").groupBy("source", "target").agg(F.min("i").alias("id"))
-    asked = anonymous(200, 6, "ID3", "ID4").select(F.col("i").alias("key"), F.col("source").alias("text"))
-    return memory.translate(asked, known).select("key", "answer", F.round("confidence", 6).alias("confidence"))
-
-
 @query(
-    "SELECT count(*) AS cases, count(*) FILTER (o_totalprice > 50000) AS compiled, count(*) FILTER (o_totalprice > 150000) AS matched, CAST(sum(o_custkey) AS BIGINT) AS chunks, CAST(sum(o_custkey // 2) AS BIGINT) AS confident, round(sum(o_custkey // 2) / sum(o_custkey), 9) AS coverage, round(avg(0.4 * CAST(CASE WHEN o_custkey > 0 THEN (o_custkey // 2) / o_custkey ELSE 0 END AS DOUBLE) + CASE WHEN o_totalprice > 50000 THEN 0.4 ELSE 0 END + CASE WHEN o_totalprice > 150000 THEN 0.2 ELSE 0 END), 9) AS score, CAST(count(*) FILTER (NOT (o_totalprice > 50000 AND o_totalprice > 150000)) AS INTEGER) AS n_failing FROM orders"
+    "SELECT count(*) AS cases, count(*) FILTER (o_totalprice > 50000) AS compiled, count(*) FILTER (o_totalprice > 150000) AS matched, CAST(sum(o_custkey) AS BIGINT) AS chunks, CAST(sum(o_custkey // 2) AS BIGINT) AS confident, round(sum(o_custkey // 2) / sum(o_custkey), 9) AS coverage, round(avg(0.4 * CAST(CASE WHEN o_custkey > 0 THEN (o_custkey // 2) / o_custkey ELSE 0 END AS DOUBLE) + CASE WHEN o_totalprice > 50000 THEN 0.4 ELSE 0 END + CASE WHEN o_totalprice > 150000 THEN 0.2 ELSE 0 END), 9) AS score, count(*) FILTER (NOT (o_totalprice > 50000 AND o_totalprice > 150000)) AS n_failing FROM orders"
 )
 def run_summary(read):
-    cases = read("orders").select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").alias("chunks"), S.div(F.col("o_custkey"), F.lit(2)).alias("confident"), (F.col("o_totalprice") > 50000).alias("cj_ok"), (F.col("o_totalprice") > 150000).alias("run_ok"))
-    out = corpus.run_summary(cases)
-    return out.withColumn("n_failing", F.size("failing")).drop("failing").withColumn("coverage", F.round("coverage", 9)).withColumn("score", F.round("score", 9))
+    cases = read("orders").select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").alias("chunks"), S.div(F.col("o_custkey"), F.lit(2)).alias("confident"), (F.col("o_totalprice") > 50000).alias("compiled"), (F.col("o_totalprice") > 150000).alias("matched"))
+    return corpus.run_summary(cases).withColumn("coverage", F.round("coverage", 9)).withColumn("score", F.round("score", 9))
 
 
 # --- vectors ---------------------------------------------------------------------------------------------------------
@@ -525,12 +484,14 @@ def bundle_sign(read):
 
 
 @query(
-    "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(a, CAST(embedding AS DOUBLE[])), 9) AS score FROM q, embeddings WHERE vec_id % 50 <> 0), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5), e AS (SELECT *, exp((score - max(score) OVER (PARTITION BY query_id)) / 0.1) AS x FROM b), p AS (SELECT *, x / sum(x) OVER (PARTITION BY query_id) AS p FROM e) SELECT query_id, id, round(score, 6) AS score, round(p, 6) AS p, p >= 0.55 AND score >= 0.3 AS accepted FROM p WHERE rank = 1"
+    "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 100 = 50), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(a, CAST(embedding AS DOUBLE[])), 9) AS score FROM q, embeddings WHERE vec_id % 50 <> 0), e AS (SELECT *, exp((score - max(score) OVER (PARTITION BY query_id)) / 0.1) AS x FROM s), p AS (SELECT *, x / sum(x) OVER (PARTITION BY query_id) AS p, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM e) SELECT query_id, id, round(score, 6) AS score, round(p, 6) AS p, p >= 0.55 AND score >= 0.3 AS accepted FROM p WHERE rank = 1 UNION ALL SELECT vec_id, vec_id + 1, 1, 1, true FROM embeddings WHERE vec_id % 100 = 0"
 )
 def softmax_recall(read):
-    rows = read("embeddings")
-    best = vectors.top_k(rows.where("vec_id % 50 = 0"), rows.where("vec_id % 50 <> 0"), "vec_id", "embedding", 5)
-    return vectors.recall(best).select("query_id", "id", F.round("score", 6).alias("score"), F.round("p", 6).alias("p"), "accepted")
+    """Every other query has the surface form of a row of the memory."""
+    key = F.col("vec_id")
+    rows = read("embeddings").withColumn("surface", F.concat(F.lit("s"), F.when(key % 100 == 0, key + 1).otherwise(key)))
+    found = vectors.recall(rows.where("vec_id % 50 = 0"), rows.where("vec_id % 50 <> 0"), "vec_id", "embedding", "surface")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.round("p", 6).alias("p"), "accepted")
 
 
 @query(
@@ -543,11 +504,11 @@ def vec_norm_permute(read):
 
 
 @query(
-    "WITH t AS (SELECT DISTINCT source AS token FROM documents), m AS (SELECT token, '^' || token || '$' AS s FROM t), g AS (SELECT token, 1.0 AS w, token AS g FROM m UNION ALL SELECT token, 0.5, substring(s, i, 2) FROM m, range(1, 50) r(i) WHERE i + 1 <= length(s) UNION ALL SELECT token, 0.5, substring(s, i, 3) FROM m, range(1, 50) r(i) WHERE i + 2 <= length(s)), h AS (SELECT token, w, CAST('0x' || substring(md5(g), 1, 8) AS BIGINT) % 64 AS slot, CAST('0x' || substring(md5(g), 9, 1) AS INTEGER) >= 8 AS up FROM g) SELECT token, CAST(slot AS INTEGER) AS slot, CAST(sum(CASE WHEN up THEN w ELSE -w END) AS DOUBLE) AS weight FROM h GROUP BY 1, 2"
+    "WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents), m AS (SELECT token, '^' || token || '$' AS s FROM t), g AS (SELECT token, 1.0 AS w, token AS g FROM m UNION ALL SELECT token, 0.5, substring(s, i, 2) FROM m, range(1, 50) r(i) WHERE i + 1 <= length(s) UNION ALL SELECT token, 0.5, substring(s, i, 3) FROM m, range(1, 50) r(i) WHERE i + 2 <= length(s)), h AS (SELECT token, w, CAST('0x' || substring(md5(g), 1, 8) AS BIGINT) % 64 AS slot, CAST('0x' || substring(md5(g), 9, 1) AS INTEGER) >= 8 AS up FROM g) SELECT token, CAST(slot AS INTEGER) AS slot, CAST(sum(CASE WHEN up THEN w ELSE -w END) AS DOUBLE) AS weight FROM h GROUP BY 1, 2"
 )
 def md5_embed(read):
-    tokens = read("documents").select(F.col("source").alias("token")).distinct().withColumn("key", F.col("token"))
-    return vectors.md5_embed(tokens.where("token is not null"), "key", "token").withColumnRenamed("key", "token")
+    tokens = read("documents").select(F.explode(corpus.words_of(F.col("text"))).alias("token")).distinct().withColumn("key", F.col("token"))
+    return vectors.md5_embed(tokens, "key", "token").withColumnRenamed("key", "token")
 
 
 @query(None)
@@ -582,42 +543,43 @@ def fixpoint_reach(read):
     return graphs.cascade_sizes(edges, edges.select(F.col("src").alias("node")))
 
 
-@query(
-    "WITH RECURSIVE n AS (SELECT n_nationkey AS node, n_nationkey * 37 % 100 AS value FROM nation), e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation WHERE n_nationkey % 3 <> 0), r AS (SELECT node AS start, node FROM n UNION SELECT r.start, e.dst FROM r JOIN e ON r.node = e.src) SELECT r.node, max(n.value) AS value FROM r JOIN n ON n.node = r.start GROUP BY 1"
-)
-def relax_fixpoint(read):
-    nation = read("nation")
-    nodes = nation.select(F.col("n_nationkey").alias("node"), (F.col("n_nationkey") * 37 % 100).alias("value"))
-    edges = nation.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("dst"))
-    return graphs.relax(nodes, edges).select("node", "value")
+#: Dependencies among parts: each third one has none, others depend downwards, and each seventh one back upwards, so there are cycles.
+_PART_EDGES = "e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey % 3 <> 0 UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 7 = 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part))"
 
 
-_NATION_EDGES = "e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + 1) % 25 AS dst FROM nation WHERE n_nationkey % 3 <> 0)"
+def _part_edges(read) -> DataFrame:
+    part = read("part").select("p_partkey")
+    down = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("src"), S.div(F.col("p_partkey"), F.lit(2).cast("long")).alias("dst"))
+    up = part.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst")).join(part.select(F.col("p_partkey").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return down.unionByName(up)
 
 
-def _nation_edges(read) -> DataFrame:
-    return read("nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("dst"))
+@query(f"WITH RECURSIVE {_PART_EDGES}, n AS (SELECT p_partkey AS node, p_partkey * 37 % 1009 AS value FROM part), r AS (SELECT node AS start, node FROM n UNION SELECT r.start, e.dst FROM r JOIN e ON r.node = e.src) SELECT r.node, max(n.value) AS value FROM r JOIN n ON n.node = r.start GROUP BY 1")
+def relax_fixpoint(read):
+    nodes = read("part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 37 % 1009).alias("value"))
+    return graphs.relax(nodes, _part_edges(read)).select("node", "value")
 
 
 @query(
-    f"WITH RECURSIVE {_NATION_EDGES}, s AS (SELECT n_nationkey AS start, n_nationkey * 7 % 25 AS i FROM nation WHERE n_nationkey % 4 <> 2), r AS (SELECT start, i, start AS node FROM s UNION SELECT r.start, r.i, e.dst FROM r JOIN e ON r.node = e.src), o AS (SELECT node, min(i) AS i FROM r GROUP BY 1) SELECT s.start, s.i, count(*) AS size FROM o JOIN s USING (i) GROUP BY 1, 2"
+    f"WITH RECURSIVE {_PART_EDGES}, s AS (SELECT p_partkey AS start, p_partkey * 7 % 10007 AS i FROM part WHERE p_partkey % 4 <> 2 AND p_partkey < 10007), r AS (SELECT start, i, start AS node FROM s UNION SELECT r.start, r.i, e.dst FROM r JOIN e ON r.node = e.src), o AS (SELECT node, min(i) AS i FROM r GROUP BY 1) SELECT s.start, s.i, count(*) AS size FROM o JOIN s USING (i) GROUP BY 1, 2"
 )
 def grain_avalanches(read):
-    starts = read("nation").where("n_nationkey % 4 <> 2").select(F.col("n_nationkey").alias("node"), (F.col("n_nationkey") * 7 % 25).alias("i"))
-    return graphs.grains(starts, _nation_edges(read))
+    """Grains have different numbers as long as keys stay below 10007, which is the order's modulus."""
+    starts = read("part").where("p_partkey % 4 <> 2 and p_partkey < 10007").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 7 % 10007).alias("i"))
+    return graphs.grains(starts, _part_edges(read))
 
 
-@query(f"WITH RECURSIVE {_NATION_EDGES}, r AS (SELECT src AS start, src AS node FROM e UNION SELECT r.start, e.dst FROM r JOIN e ON r.node = e.src) SELECT start, count(*) AS size FROM r GROUP BY 1")
+@query(f"WITH RECURSIVE {_PART_EDGES}, r AS (SELECT src AS start, src AS node FROM e UNION SELECT r.start, e.dst FROM r JOIN e ON r.node = e.src) SELECT start, count(*) AS size FROM r GROUP BY 1")
 def perturbation_sizes(read):
-    return graphs.perturbation(_nation_edges(read))
+    return graphs.perturbation(_part_edges(read))
 
 
 @query(
-    "WITH RECURSIVE t AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey < 3 THEN NULL ELSE n_nationkey // 3 END AS parent FROM nation), p AS (SELECT node, CAST(0 AS INTEGER) AS depth, CAST(node AS VARCHAR) AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.node, p.depth + 1, p.path || '/' || t.node FROM t JOIN p ON t.parent = p.node AND t.node <> p.node) SELECT node, depth, path FROM p"
+    "WITH RECURSIVE t AS (SELECT p_partkey AS node, CASE WHEN p_partkey < 3 THEN NULL ELSE p_partkey // 3 END AS parent FROM part), p AS (SELECT node, CAST(0 AS INTEGER) AS depth, CAST(node AS VARCHAR) AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.node, p.depth + 1, p.path || '/' || t.node FROM t JOIN p ON t.parent = p.node AND t.node <> p.node) SELECT node, depth, path FROM p"
 )
 def preorder_walk(read):
-    key = F.col("n_nationkey")
-    tree = read("nation").select(key.alias("node"), F.when(key >= 3, F.floor(key / 3).cast("int")).alias("parent"), key.alias("i"))
+    key = F.col("p_partkey")
+    tree = read("part").select(key.alias("node"), F.when(key >= 3, S.div(key, F.lit(3).cast("long"))).alias("parent"), key.alias("i"))
     return graphs.preorder(tree).select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
@@ -642,7 +604,7 @@ def ema_per_user(read):
 
 
 @query(
-    "WITH RECURSIVE v AS (SELECT user_id, CAST(event_id % 3 AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), f AS (SELECT user_id, CAST(0 AS BIGINT) AS r, 1.0::DOUBLE AS e, 0.45::DOUBLE AS t FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT v.user_id, v.r, f.e * 0.95::DOUBLE + v.value * 0.05::DOUBLE, least(greatest(f.t + (f.e * 0.95::DOUBLE + v.value * 0.05::DOUBLE - 1) * 0.01::DOUBLE, 0.1::DOUBLE), 0.8::DOUBLE) FROM f JOIN v ON v.user_id = f.user_id AND v.r = f.r + 1) SELECT user_id, round(arg_max(e, r), 6) AS ema, round(arg_max(t, r), 6) AS threshold FROM f GROUP BY 1"
+    "WITH RECURSIVE v AS (SELECT user_id, CAST(event_id % 3 AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), f AS (SELECT user_id, CAST(0 AS BIGINT) AS r, 1.0::DOUBLE AS e, 0.35::DOUBLE AS t FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT v.user_id, v.r, f.e * 0.95::DOUBLE + v.value * 0.05::DOUBLE, least(greatest(f.t + (f.e * 0.95::DOUBLE + v.value * 0.05::DOUBLE - 1) * 0.01::DOUBLE, 0.1::DOUBLE), 0.8::DOUBLE) FROM f JOIN v ON v.user_id = f.user_id AND v.r = f.r + 1) SELECT user_id, round(arg_max(e, r), 6) AS ema, round(arg_max(t, r), 6) AS threshold FROM f GROUP BY 1"
 )
 def ema_threshold(read):
     rows = read("events").withColumn("x", F.col("event_id") % 3)
@@ -650,11 +612,23 @@ def ema_threshold(read):
 
 
 @query(
-    "SELECT label, row_number() OVER (PARTITION BY label ORDER BY min(vec_id)) - 1 AS id, 't' || (vec_id % 20) AS source, 'a' || (vec_id % 20) AS target, count(*) AS wins FROM embeddings GROUP BY label, vec_id % 20"
+    """
+WITH v AS (SELECT label, vec_id, 't' || (vec_id % 20) AS source, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+n AS (SELECT label, source, min(vec_id) AS born, arg_min(x, vec_id) AS x, count(*) - 1 AS wins, row_number() OVER (PARTITION BY label ORDER BY min(vec_id)) - 1 AS id FROM v GROUP BY 1, 2),
+-- what an observation finds: the neurons that were there before it, its own template's included
+s AS (SELECT v.label, v.vec_id, own.id AS own, own.born < v.vec_id AS known, n.id AS other, row_number() OVER (PARTITION BY v.label, v.vec_id ORDER BY list_inner_product(n.x, v.x) DESC, n.id) AS place
+      FROM v JOIN n own ON own.label = v.label AND own.source = v.source JOIN n ON n.label = v.label AND n.born < v.vec_id),
+e AS (SELECT label, own AS a, other AS b FROM s WHERE NOT known AND place = 1
+      UNION SELECT x.label, x.own, y.other FROM s x JOIN s y USING (label, vec_id) WHERE x.known AND x.place = 1 AND x.other = x.own AND y.place = 2),
+both_ways AS (SELECT * FROM e UNION SELECT label, b, a FROM e),
+near AS (SELECT label, a AS id, string_agg(b, ',' ORDER BY b) AS neighbours FROM both_ways GROUP BY 1, 2)
+SELECT label, id, source, 'a' || arg_min(born, born) AS target, wins, coalesce(neighbours, '') AS neighbours FROM n LEFT JOIN near USING (label, id) GROUP BY label, id, source, wins, neighbours
+"""
 )
 def soinn_memory(read):
-    rows = read("embeddings").select("label", "vec_id", F.concat(F.lit("t"), F.col("vec_id") % 20).alias("source"), F.concat(F.lit("a"), F.col("vec_id") % 20).alias("target"), "embedding")
-    return state.soinn(rows, ["label"], "vec_id", "source", "target", "embedding").drop("neighbours")
+    """Each template's first answer stays; answers here differ each time. Fewer than 200 neurons are born, so no tie is too old."""
+    rows = read("embeddings").select("label", "vec_id", F.concat(F.lit("t"), F.col("vec_id") % 20).alias("source"), F.concat(F.lit("a"), "vec_id").alias("target"), "embedding")
+    return state.soinn(rows, ["label"], "vec_id", "source", "target", "embedding").withColumn("neighbours", _text(F.col("neighbours")))
 
 
 # --- Spark's own, without a counterpart ------------------------------------------------------------------------------
@@ -677,3 +651,6 @@ def session_windows(read):
     from lattica.streaming import events
 
     return events.sessions(read("events"), "ts", "2 hours", ["user_id"]).select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "n")
+
+
+from . import programs, coverage  # noqa: E402, F401  more queries of the same registry

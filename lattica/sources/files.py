@@ -28,17 +28,21 @@ def read_project(spark: SparkSession, path: str, glob: str = "*.kt") -> DataFram
     return read_texts(spark, path, glob).withColumn("name", inner).where(~F.col("name").rlike(rf"(^|/)(\.[^/]*|{skipped})/")).orderBy("name")
 
 
-def read_pairs(spark: SparkSession, path: str, source: str = "go", target: str = "cj") -> DataFrame:
-    """line_no, source, target of JSON lines; blank lines, # lines, broken ones and those without both sides are skipped."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
+def read_pairs(spark: SparkSession, path: str, source: str = "source", target: str = "target") -> DataFrame:
+    """path, line_no (from 0, in its file), source, target of JSON lines; blank lines, # lines, broken ones and those without both sides are skipped.
+
+    A file of pairs is read whole, so that its lines have numbers.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     kept = lines.where(~F.col("value").rlike(r"^\s*(#|$)"))
     rows = kept.withColumn("p", F.from_json("value", f"`{source}` string, `{target}` string"))
-    own = rows.select("line_no", F.col("p")[source].alias(source), F.col("p")[target].alias(target))
+    own = rows.select("path", "line_no", F.col("p")[source].alias(source), F.col("p")[target].alias(target))
     return own.where((F.trim(source) != "") & (F.trim(target) != ""))
 
 
-def read_program_pairs(spark: SparkSession, path: str, cut: Callable[[str], list[str]], source: str = "go", target: str = "cj") -> DataFrame:
-    """stem, chunk, source, target: chunks of x.go and x.cj side by side; programs whose chunk counts differ are dropped."""
+def read_program_pairs(spark: SparkSession, path: str, cut: Callable[[str], list[str]], source: str = "source", target: str = "target") -> DataFrame:
+    """stem, chunk, source, target: chunks of x.<source> and x.<target> side by side; programs whose chunk counts differ are dropped."""
     ready(spark)
 
     @F.pandas_udf("array<string>")
@@ -52,12 +56,45 @@ def read_program_pairs(spark: SparkSession, path: str, cut: Callable[[str], list
     return both.select("stem", F.posexplode(F.arrays_zip(source, target)).alias("chunk", "__p")).select("stem", "chunk", f"__p.{source}", f"__p.{target}")
 
 
+def replace_atomically(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """What write(folder) writes takes the place of path by renames: readers find the old state or the new one whole.
+
+    A run that fails leaves the old state; one that dies between the two renames leaves it under path.old.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, old, own = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in (".new", ".old", ""))
+    fs = own.getFileSystem(conf)
+    fs.delete(new, True)
+    write(new.toString())
+    fs.delete(old, True)
+    if fs.exists(own) and not fs.rename(own, old) or not fs.rename(new, own):
+        raise OSError(f"could not replace {path}")
+    fs.delete(old, True)
+
+
 def write_text(df: DataFrame, column: str, path: str) -> None:
-    df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
+    replace_atomically(df.sparkSession, path, df.select(F.col(column).cast("string")).write.text)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    replace_atomically(df.sparkSession, path, df.write.json)
+
+
+def for_each(df: DataFrame, ordinal: str, act: Callable[[int, list], None], rows: int = 10_000) -> int:
+    """Calls act(number, rows) on the driver with bounded batches of rows in order, and gives their number: a sink for side effects.
+
+    Rows come a partition at a time, sorted; the driver holds one partition.
+    """
+    batch, n = [], 0
+    for row in df.orderBy(ordinal).toLocalIterator():
+        batch.append(row)
+        if len(batch) == rows:
+            act(n, batch)
+            batch, n = [], n + 1
+    if batch:
+        act(n, batch)
+        n += 1
+    return n
 
 
 def npz_table(df: DataFrame, id_col: str, vector: str, rows: int = 4096) -> DataFrame:

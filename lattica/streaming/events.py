@@ -40,19 +40,28 @@ def first_seen(events: DataFrame, keys: list[str], at: str, late: str = "10 minu
     return events.dropDuplicates(keys)
 
 
-def running_ema(events: DataFrame, key: str, at: str, value: str, keep: float = 0.95) -> DataFrame:
-    """key, n, ema after each micro-batch: rows of a batch are folded in order of time, state goes on between batches."""
+def running_ema(events: DataFrame, key: str, at: str, value: str, keep: float = 0.95, late: str = "10 minutes", forget_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """key, n, ema after each micro-batch: rows of a batch are folded in order of time, state goes on between batches.
+
+    A key whose last row is forget_ms behind the watermark is forgotten, so that state doesn't grow for ever; it starts anew
+    when it comes again.
+    """
     ready(events.sparkSession)
     kind = dict(events.dtypes)[key]
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, ema = state.get if state.exists else (0, 0.0)
-        for x in pd.concat(parts).sort_values(at, kind="stable")[value]:
+        own = pd.concat([part[[at, value]] for part in parts]).sort_values(at, kind="stable")
+        for x in own[value]:
             n, ema = n + 1, ema * keep + float(x) * (1 - keep)
         state.update((n, ema))
+        state.setTimeoutTimestamp(max(int(own[at].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + forget_ms)
         yield pd.DataFrame({key: [k[0]], "n": [n], "ema": [ema]})
 
-    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, n long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)
+    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, n long, ema double", "n long, ema double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import numpy as np
+import pytest
 
 from lattica.operators import corpus
 from lattica.sources import files
@@ -18,12 +19,12 @@ def test_texts_and_projects(spark, tmp_path):
 
 
 def test_pairs(spark, tmp_path):
-    lines = ["# comment", "", json.dumps({"go": "a", "cj": "b"}), json.dumps({"go": "", "cj": "b"}), "broken {", json.dumps({"go": "c"}), json.dumps({"go": "d", "cj": "e"})]
+    lines = ["# comment", "", json.dumps({"source": "a", "target": "b"}), json.dumps({"source": "", "target": "b"}), "broken {", json.dumps({"source": "c"}), json.dumps({"source": "d", "target": "e"})]
     (tmp_path / "pairs.jsonl").write_text("\n".join(lines))
-    assert sorted((r["go"], r["cj"]) for r in files.read_pairs(spark, str(tmp_path / "pairs.jsonl")).collect()) == [("a", "b"), ("d", "e")]
+    assert sorted((r["line_no"], r["source"], r["target"]) for r in files.read_pairs(spark, str(tmp_path / "pairs.jsonl")).collect()) == [(2, "a", "b"), (6, "d", "e")]
     for stem, go, cj in (("x", "a\nb", "A\nB"), ("y", "a", "A\nB")):
-        (tmp_path / f"{stem}.go").write_text(go)
-        (tmp_path / f"{stem}.cj").write_text(cj)
+        (tmp_path / f"{stem}.source").write_text(go)
+        (tmp_path / f"{stem}.target").write_text(cj)
     got = files.read_program_pairs(spark, str(tmp_path), lambda t: t.split("\n")).collect()
     assert sorted(map(tuple, got)) == [("x", 0, "a", "A"), ("x", 1, "b", "B")]
 
@@ -34,6 +35,20 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "text")).collect()) == [f"t{i}" for i in range(10)]
     files.write_json(df.select("id", "t"), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 10
+    before = sorted(r["value"] for r in spark.read.text(str(tmp_path / "text")).collect())
+
+    def broken(path):
+        df.select("t").write.text(path)
+        raise RuntimeError("in the middle")
+
+    with pytest.raises(RuntimeError):
+        files.replace_atomically(spark, str(tmp_path / "text"), broken)
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "text")).collect()) == before
+    files.write_text(df.where("id < 3"), "t", str(tmp_path / "text"))
+    assert spark.read.text(str(tmp_path / "text")).count() == 3 and sorted(p.name for p in tmp_path.iterdir()) == ["json", "text"]
+    seen = []
+    assert files.for_each(df, "id", lambda n, own: seen.append((n, [r["id"] for r in own])), rows=4) == 3
+    assert seen == [(0, [0, 1, 2, 3]), (1, [4, 5, 6, 7]), (2, [8, 9])]
     back = files.read_npz(files.npz_table(df, "id", "v", rows=3)).collect()
     assert {r["id"]: np.asarray(r["vector"]).tolist() for r in back} == {i: [float(i), 1.0] for i in range(10)}
 
