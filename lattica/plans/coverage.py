@@ -160,26 +160,26 @@ def hopfield_remember(read):
     return vectors.remember(vectors.remember(old.limit(0), old, "key", "at"), new, "key", "at")
 
 
-_BITS = "list_transform(range(0, 128), lambda i: ((CAST('0x' || substring(md5(token || '/0'), CAST(i // 4 AS INTEGER) + 1, 1) AS INTEGER) >> CAST(3 - i % 4 AS INTEGER)) & 1) * 2 - 1)"
+_BITS = "list_transform(range(0, 128), lambda i: ((CAST('0x' || substring(md5(token), CAST(i // 4 AS INTEGER) + 1, 1) AS INTEGER) >> CAST(3 - i % 4 AS INTEGER)) & 1) * 2 - 1)"
 _TURNED = "list_concat({0}[128 - {1} + 1 :], {0}[: 128 - {1}])"
 
 
 @query(
     f"""
-WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+')[:12] AS w FROM conversations WHERE turn < 2),
+WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations),
 t AS (SELECT conv_id, turn, unnest(w) AS token, unnest(range(len(w))) AS pos FROM w), v AS (SELECT token, {_BITS} AS v FROM (SELECT DISTINCT token FROM t)),
 p AS (SELECT conv_id, turn, pos, v, lead(v, 1) OVER o AS b, lead(v, 2) OVER o AS c FROM t JOIN v USING (token) WINDOW o AS (PARTITION BY conv_id, turn ORDER BY pos)),
 g AS (SELECT conv_id, turn, v AS x FROM p UNION ALL SELECT conv_id, turn, list_transform(list_zip(v, {_TURNED.format('b', 1)}, {_TURNED.format('c', 2)}), lambda z: z[1] * z[2] * z[3]) FROM p WHERE c IS NOT NULL),
 d AS (SELECT conv_id, turn, dim, CASE WHEN sum(x) >= 0 THEN 1 ELSE -1 END AS s FROM (SELECT conv_id, turn, unnest(x) AS x, unnest(range(128)) AS dim FROM g) GROUP BY ALL)
-SELECT a.conv_id, round(sum(a.s * b.s) / 128, 9) AS similarity FROM d a JOIN d b ON a.conv_id = b.conv_id AND a.dim = b.dim AND a.turn = 0 AND b.turn = 1 GROUP BY 1
+SELECT a.conv_id, a.turn, round(sum(a.s * b.s) / 128, 9) AS similarity FROM d a JOIN d b ON a.conv_id = b.conv_id AND a.dim = b.dim AND b.turn = a.turn + 1 GROUP BY 1, 2
 """
 )
 def md5_hypervectors(read):
-    """How alike the openings of each conversation's question and answer are; the opening, 12 words, is what is asked about."""
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), 1, 12)
-    rows = read("conversations").where("turn < 2").select("conv_id", "turn", vectors.md5_hypervector(words).alias("hv")).where(F.size(words) > 0)
-    pairs = rows.where("turn = 0").select("conv_id", F.col("hv").alias("a")).join(rows.where("turn = 1").select("conv_id", F.col("hv").alias("b")), "conv_id")
-    return pairs.select("conv_id", F.round(vectors.similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
+    """How alike each turn and the next one are."""
+    rows = read("conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w"))
+    hv = vectors.md5_hypervectors(rows, ["conv_id", "turn"], "w")
+    pairs = hv.join(hv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("hv").alias("next_hv")), ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.round(vectors.similarity(F.col("hv"), F.col("next_hv")), 9).alias("similarity"))
 
 
 @query(

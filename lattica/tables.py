@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[str] = []
+_FOLDERS: set[str] = set()
 
 
 def ready(spark: SparkSession) -> None:
@@ -32,8 +33,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_folder(spark)}/lattica/{label}-{uuid.uuid4().hex}"
+    """A path that nothing has used, in the application's own part of the shared folder, which goes when the driver's JVM ends."""
+    folder = f"{shared_folder(spark)}/lattica/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        own, fs = _hadoop_path(spark, folder)
+        fs.mkdirs(own)
+        fs.deleteOnExit(own)
+        _FOLDERS.add(folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     return path
 
@@ -51,12 +64,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() gave and that no frame used later reads."""
+    for df in tables:
+        path, fs = _hadoop_path(df.sparkSession, df.written_path)
+        fs.delete(path, True)
+        _WRITTEN.remove(df.written_path)
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes all tables that materialize() wrote; frames that read them can't be used afterwards."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """Deletes all tables that materialize() wrote; frames that read them can't be used afterwards.
+
+    Without a call they go when the driver's JVM ends: the frame that a query gave may read some of them until then.
+    """
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        path, fs = _hadoop_path(spark, _WRITTEN.pop())
+        fs.delete(path, True)
