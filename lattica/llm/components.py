@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lattica.tables import discard
+
 from .common import materialize
 
 #: A node with at least this part of all links' ends is a hub; there are at most so many hubs, and they are broadcast.
 HUBS = 1000
 
 
-def _least(edges: DataFrame, n: int) -> DataFrame:
+def _least(edges: DataFrame, n: int, spare: list[DataFrame]) -> DataFrame:
     """(u, m, hub) with the smallest v of each u; a hub has at least n / HUBS rows, n being how many edges has at most."""
-    return materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "m", (F.col("n") * HUBS >= n).alias("hub")), "least")
+    out = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "m", (F.col("n") * HUBS >= n).alias("hub")), "least")
+    spare.append(out)
+    return out
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -22,16 +26,16 @@ def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     return found.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(others.select("u", "v", "m"))
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame, n: int, spare: list[DataFrame]) -> DataFrame:
     """Each node hands its smallest neighbour to its larger ones."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    own = _with_least(both, _least(both, 2 * n)).where("v > u")
+    own = _with_least(both, _least(both, 2 * n, spare)).where("v > u")
     return own.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
+def _small_star(edges: DataFrame, n: int, spare: list[DataFrame]) -> DataFrame:
     """Each node hands its smallest neighbour to its smaller ones and to itself; edges point from u down to v."""
-    least = _least(edges, n)
+    least = _least(edges, n, spare)
     return _with_least(edges, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -50,9 +54,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if seen[0] == 0:
             break
-        large = materialize(_large_star(now, seen[0]).where("u <> v").distinct(), "stars")
-        now = materialize(_small_star(large, large.count()).where("u <> v").distinct(), "edges")
+        spare = [now]
+        large = materialize(_large_star(now, seen[0], spare).where("u <> v").distinct(), "stars")
+        now = materialize(_small_star(large, large.count(), spare).where("u <> v").distinct(), "edges")
         new = mark(now)
+        discard(large, *spare)
         if new == seen:
             break
         seen = new
