@@ -389,10 +389,20 @@ def augment(pairs: DataFrame, source: str, target: str, factor: int, how: Callab
     return rows.withColumn("__new", run(source, target, "__s")).withColumn(source, F.col("__new")[source]).withColumn(target, F.col("__new")[target]).drop("__s", "__new")
 
 
-#: (weight, source, target) with {a} {b} for names and {n} {m} for numbers.
+#: (weight, source, target) with {a} {b} for names, {n} {m} for numbers and {{ }} for braces; a form for each kind of statement.
 MADE = (
-    (3, "{a} := {n}", "var {a} = {n}"), (2, "{a} = {b} + {n}", "{a} = {b} + {n}"), (2, "{a} := {b} * {m}", "var {a} = {b} * {m}"), (2, "return {a}", "return {a}"), (1, "{a}++", "{a} += 1"),
-    (2, "fmt.Println({a})", "println({a})"), (1, "if {a} > {n} {{ {b} = {m} }}", "if ({a} > {n}) {{ {b} = {m} }}"), (1, "for {a} := 0; {a} < {n}; {a}++ {{ {b} += {a} }}", "for ({a} in 0..{n}) {{ {b} += {a} }}"),
+    (2, "var {a} int = {n}", "var {a}: Int64 = {n}"), (1, "var {a} string", 'var {a}: String = ""'), (3, "{a} := {n}", "var {a} = {n}"), (2, "{a} := {b} * {m}", "var {a} = {b} * {m}"),
+    (1, "const {a} = {n}", "let {a} = {n}"), (2, "{a} = {b} + {n}", "{a} = {b} + {n}"), (1, "{a} -= {n}", "{a} -= {n}"), (1, "{a}++", "{a} += 1"), (1, "{a}--", "{a} -= 1"),
+    (2, "fmt.Println({a})", "println({a})"), (1, "fmt.Print({a})", "print({a})"), (1, 'fmt.Printf("value=%d\\n", {a})', 'print("value=${{{a}}}\\n")'),
+    (1, "if {a} > {n} {{ {b} = {m} }}", "if ({a} > {n}) {{ {b} = {m} }}"), (1, "if {a} == {n} {{ {b} = {m} }} else {{ {b} = {n} }}", "if ({a} == {n}) {{ {b} = {m} }} else {{ {b} = {n} }}"),
+    (1, "if {a} < {n} {{ {b} = {n} }} else if {a} < {m} {{ {b} = {m} }} else {{ {b} = 0 }}", "if ({a} < {n}) {{ {b} = {n} }} else if ({a} < {m}) {{ {b} = {m} }} else {{ {b} = 0 }}"),
+    (1, "for {a} := 0; {a} < {n}; {a}++ {{ {b} += {a} }}", "for ({a} in 0..{n}) {{ {b} += {a} }}"), (1, "for {a} < {n} {{ {a} += {m} }}", "while ({a} < {n}) {{ {a} += {m} }}"), (1, "for {{ {a}++ }}", "while (true) {{ {a} += 1 }}"),
+    (1, "for _, {a} := range {b} {{ fmt.Println({a}) }}", "for ({a} in {b}) {{ println({a}) }}"), (1, "for {a}, v := range {b} {{ fmt.Println({a}, v) }}", "for ({a} in 0..{b}.size) {{ let v = {b}[{a}]; println(\"${{{a}}} ${{v}}\") }}"),
+    (1, "func {a}({b} int) int {{ return {b} + {n} }}", "func {a}({b}: Int64): Int64 {{ return {b} + {n} }}"), (1, "func {a}({b} int) (int, int) {{ return {b}, {n} }}", "func {a}({b}: Int64): (Int64, Int64) {{ return ({b}, {n}) }}"),
+    (1, "return {a}, {b}", "return ({a}, {b})"), (2, "return {a}", "return {a}"), (1, "break", "break"), (1, "continue", "continue"), (1, "{a} := len({b})", "var {a} = {b}.size"), (1, "{a} = append({a}, {n})", "{a}.add({n})"),
+    (1, "{a} := []int{{{n}, {m}}}", "var {a} = ArrayList<Int64>([{n}, {m}])"), (1, "{a} := make(map[string]int)", "var {a} = HashMap<String, Int64>()"), (1, "{a} == nil", "{a}.isNone()"), (1, '{a} := {b} + "s"', 'var {a} = {b} + "s"'), (1, "{a} := {b}({n}, {m})", "var {a} = {b}({n}, {m})"),
+    (1, "{a} := {b}.Get({n})", "var {a} = {b}.get({n})"), (1, "type {a} struct {{ {b} int }}", "class {a} {{ var {b}: Int64 = 0 }}"), (1, "type {a} interface {{ {b}() int }}", "interface {a} {{ func {b}(): Int64 }}"),
+    (1, "switch {a} {{ case {n}: {b} = {m} }}", "match ({a}) {{ case {n} => {b} = {m} case _ => () }}"), (1, "package {a}", "package {a}"), (1, 'import "{a}"', "import std.{a}.*"), (1, "func main() {{ {a}() }}", "main() {{ {a}() }}"), (1, "{a}({b})", "{a}({b})"),
 )
 
 
@@ -509,8 +519,20 @@ def splice(parts: DataFrame, key: str) -> DataFrame:
 
 
 # --- rewriting and matching ------------------------------------------------------------------------------------------
-def route(text: Column, fragile: Sequence[str] = (r"\bgo\s+func\b", r"\bselect\s*\{", r"\bdefer\b", r"<-")) -> Column:
-    """fallback, identity or template for a chunk's text: headers, empty chunks and fragile idioms can't be left to templates."""
+#: Forms that a stored template tends to get wrong: they are left to the rewriter.
+FRAGILE = (
+    r"\bgo\s+func\b", r"\bselect\s*\{", r"\bdefer\b", r"<-",
+    r"\w+(\s*\[[^\[\]]+\])?\s*,\s*\w+(\s*\[[^\[\]]+\])?\s*=\s*\w+(\s*\[[^\[\]]+\])?\s*,\s*\w+",  # swaps
+    r"\bfor\s+\w+\s*(,\s*\w+\s*)?:=\s*range\b", r"\bmake\s*\(\s*\[\s*\]", r"\[\s*\]\s*(\[\s*\]\s*)?[A-Za-z_]\w*\s*\{",  # ranges, made and literal slices
+    r"\w+\s*\[[^\[\]]+\]\s*\[[^\[\]]+\]", r"\w+\s*\[[^\[\]]+\]\s*=([^=]|$)",  # two subscripts, writes to a place
+    r"^\s*var\s+\w+\s*=\s*-?\d+(\.\d+)?\s*$", r"\bfor\s+\w+\s*:=[^;]+;[^;{]+;[^{]*(\+\+|--|\+=|-=)", r"\}\s*else\s*\{",  # untyped numbers, counted loops, both branches
+    r"\bfmt\s*\.\s*Print(ln|f)?\s*\(\s*[^,)]+,", r"\bfmt\s*\.\s*Printf\s*\(", r"\b\w+\s*\(\s*[^,()]+\s*,\s*[^,()]+\s*,\s*[^,()]+",  # prints and calls of several values
+    r"\b(\w+)\s*=\s*\1\b\s*[+\-*/%]",  # updates of a name by itself
+)
+
+
+def route(text: Column, fragile: Sequence[str] = FRAGILE) -> Column:
+    """fallback, identity or template for a chunk's text: headers, empty chunks and fragile forms can't be left to templates."""
     out = F.when(F.trim(text) == "", "fallback").when(F.trim(text) == "}", "identity").when(text.rlike(r"^\s*(func|type|class|struct|interface)\b[^}]*\{\s*$"), "fallback")
     for pattern in fragile:
         out = out.when(text.rlike(pattern), "fallback")
@@ -603,27 +625,43 @@ def bind_slots(tokens: Sequence[str], pattern: Sequence[str]) -> dict[str, str]
     return match(0, 0, {})
 
 
-def best_patterns(chunks: DataFrame, keys: Sequence[str], tokens: str, patterns: Sequence[Pattern]) -> DataFrame:
-    """keys, pattern_no, score, slots: of the patterns that fit a chunk that with the most anchors (weighted by slots), the first of equals.
+#: A slot of this name takes a plain name: none of these may open what it binds. Fixed values.
+NAME_SLOT, NOT_NAMES = "$NAME", frozenset(
+    "for while if else do switch case default return throw try catch finally break continue new typeof let const var function class interface enum struct type abstract import export".split()
+)
 
-    Patterns are a fixed table that travels with the function, indexed by first anchor; null where none fits.
+
+def best_patterns(chunks: DataFrame, keys: Sequence[str], tokens: str, patterns: Sequence[Pattern], embedded: bool = False, near: Callable[[list[str]], set[int]] | None = None) -> DataFrame:
+    """keys, pattern_no, score, slots: of the patterns that fit a chunk that with the largest score, the first of equals.
+
+    The score is one more than the number of anchors; with `embedded` a tenth of the cosine of both token sequences' embeddings
+    comes on top, and with `near` (tokens to numbers of patterns, such as a map's neighbourhood) a tenth for a pattern in it.
+    A slot NAME_SLOT doesn't take what begins with one of NOT_NAMES. Patterns are a fixed table that travels with the function,
+    indexed by first anchor; null where none fits.
     """
+    from .vectors import sequence_vector
+
     ready(chunks.sparkSession)
     by_first: dict[str, list[Pattern]] = {}
     for p in patterns:
         by_first.setdefault(p.tokens[0] if p.tokens and not p.tokens[0].startswith("$") else "", []).append(p)
+    vectors = {p.no: sequence_vector(list(p.tokens)) for p in patterns} if embedded else {}
 
     @F.pandas_udf("struct<pattern_no:int,score:double,slots:map<string,string>>")
     def run(rows: pd.Series) -> pd.DataFrame:
         out = []
         for row in rows:
             own = list(row) if row is not None else []
+            vector = sequence_vector(own) if embedded else None
+            close = near(own) if near else ()
             best = (None, None, None)
             for p in sorted([*by_first.get(own[0] if own else "", []), *(by_first.get("", []) if own else [])], key=lambda p: p.no):
-                if (slots := bind_slots(own, p.tokens)) is not None:
-                    score = float(p.anchors * (1 + len(slots)))
-                    if best[1] is None or score > best[1]:
-                        best = (p.no, score, slots)
+                slots = bind_slots(own, p.tokens)
+                if slots is None or slots.get(NAME_SLOT, "").partition(" ")[0] in NOT_NAMES:
+                    continue
+                score = 1.0 + p.anchors + (0.1 * float(vector @ vectors[p.no]) if embedded else 0.0) + 0.1 * (p.no in close)
+                if best[1] is None or score > best[1]:
+                    best = (p.no, score, slots)
             out.append(best)
         return pd.DataFrame(out, columns=["pattern_no", "score", "slots"]).astype({"pattern_no": "Int32"})
 

@@ -117,6 +117,13 @@ def normalized_chunks(read):
 PLAIN_RULES = tuple(r for r in corpus.IDIOMS if "\\1" not in r[0] and "\\2" not in r[0])
 
 
+PLAIN_FRAGILE = tuple(p for p in corpus.FRAGILE if "\\1" not in p)
+
+
+def _fragile(text: str) -> str:
+    return " OR ".join(f"regexp_matches({text}, '{p}')" for p in PLAIN_FRAGILE)
+
+
 def _rewritten(text: str) -> str:
     for pattern, replacement in PLAIN_RULES:
         text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern, replacement.replace("$", "\\"))
@@ -132,9 +139,9 @@ def _code(read) -> DataFrame:
     return _lines(read).select("o", "i", F.replace(F.replace(form, F.lit("@p"), F.col("p").cast("string")), F.lit("@q"), F.col("q").cast("string")).alias("text"))
 
 
-@query(_LINES + ", " + _CODE + rf" SELECT o, i, CASE WHEN trim(text) = '}}' THEN 'identity' WHEN regexp_matches(text, '^\s*func[^}}]*\{{\s*$') OR regexp_matches(text, '\bgo\s+func\b') THEN 'fallback' ELSE 'template' END AS route, {_rewritten('text')} AS rewritten FROM t")
+@query(_LINES + ", " + _CODE + rf" SELECT o, i, CASE WHEN trim(text) = '}}' THEN 'identity' WHEN regexp_matches(text, '^\s*func[^}}]*\{{\s*$') OR {_fragile('text')} THEN 'fallback' ELSE 'template' END AS route, {_rewritten('text')} AS rewritten FROM t")
 def route_and_rewrite(read):
-    return _code(read).select("o", "i", corpus.route(F.col("text")).alias("route"), corpus.rewrite(F.col("text"), PLAIN_RULES).alias("rewritten"))
+    return _code(read).select("o", "i", corpus.route(F.col("text"), PLAIN_FRAGILE).alias("route"), corpus.rewrite(F.col("text"), PLAIN_RULES).alias("rewritten"))
 
 
 @query(_LINES + """SELECT o, i, CASE k WHEN 1 THEN 'x' || p || ' = ' || q WHEN 3 THEN 'if x' || p || ' > ' || q || ' { yy }' ELSE raw END AS rewritten FROM s""")

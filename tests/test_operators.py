@@ -155,8 +155,16 @@ def test_patterns_and_rewrites(spark):
     got = {r["k"]: r for r in corpus.best_patterns(chunks, ["k"], "t", patterns).collect()}
     assert got[1]["pattern_no"] == 0 and got[1]["slots"]["$b"] == "f ( i )" and got[2]["pattern_no"] is None and got[3]["pattern_no"] is None and got[4]["pattern_no"] == 2
     assert corpus.bind_slots("a ) b".split(), ["$x"]) is None and corpus.bind_slots([], []) == {}
-    routes = spark.createDataFrame([("func f() {",), ("}",), (" ",), ("go func() {}",), ("x = 1",)], "t string").select(corpus.route(F.col("t")).alias("r")).collect()
-    assert [r["r"] for r in routes] == ["fallback", "identity", "fallback", "fallback", "template"]
+    texts = ["func f() {", "}", " ", "go func() {}", "a, b = b, a", "a[i], a[j] = a[j], a[i]", "for _, v := range xs {", "make([]int, 3)", "x := []int{1}", "dp[i][j]", "a[i] = 3", "var n = 5", "for i := 0; i < n; i++ {", "} else {", "fmt.Println(a, b)", "f(a, b, c)", "s = s + i"]
+    texts += ["x = 1", "fmt.Println(a)", "a[i] == 3", "s = t + i", "f(a, b)"]
+    routes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", corpus.route(F.col("t")).alias("r")).collect()
+    assert [r["r"] for r in sorted(routes)] == ["fallback", "identity", *["fallback"] * 15, *["template"] * 5]
+    named = spark.createDataFrame([(1, "class A { b }".split()), (2, "for A { b }".split()), (3, "x = y".split())], "k int, t array<string>")
+    own = [corpus.Pattern(0, tuple("$NAME A { $b }".split())), corpus.Pattern(1, tuple("$x = $y".split())), corpus.Pattern(2, tuple("$p = $q".split()))]
+    assert [r["pattern_no"] for r in sorted(corpus.best_patterns(named, ["k"], "t", own).collect())] == [None, None, 1]
+    near = {r["k"]: r for r in corpus.best_patterns(named, ["k"], "t", own, embedded=True, near=lambda t: {2}).collect()}
+    like = float(vectors.sequence_vector("x = y".split()) @ vectors.sequence_vector("$p = $q".split()))
+    assert near[3]["pattern_no"] == 2 and abs(near[3]["score"] - (2 + 0.1 * like + 0.1)) < 1e-9
     files = spark.createDataFrame([("p", "b.kt", "import z\nimport a\nfun main() {}"), ("p", "c.kt", "import a\nclass C")], "project string, path string, source string")
     r = corpus.merge_projects(files).collect()[0]
     assert r["imports"] == ["import a", "import z"] and r["body"] == "class C\nfun main() {}"
