@@ -8,7 +8,7 @@ from lattica.functions import collections as C, extensions, scalars as S
 from lattica.operators import graphs, joins, state, vectors
 from lattica.streaming import events
 
-from .catalogue import _LIST, _XS, _orders_with_quantities, _text
+from .catalogue import _LIST, _PART_EDGES, _XS, _orders_with_quantities, _part_edges, _text
 from .registry import query
 
 
@@ -217,6 +217,33 @@ def resolved_references(read):
     return graphs.resolve(refs, decls, scopes).select("ref", "decl")
 
 
+#: Parts as a tree under three roots, with the dependencies among parts beside it; who reads whom.
+_READS = f"{_PART_EDGES}, reads AS (SELECT src, dst FROM e UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey >= 3)"
+
+
+def _part_tree(read):
+    key = F.col("p_partkey")
+    return read("part").select(key.alias("node"), F.when(key >= 3, S.div(key, F.lit(3).cast("long"))).alias("parent"), (key * 37 % 1009).alias("own"))
+
+
+def _greatest(own, met):
+    return F.greatest(own, met)
+
+
+@query(f"WITH RECURSIVE {_READS}, n AS (SELECT p_partkey AS node, p_partkey * 37 % 1009 AS own FROM part), r AS (SELECT node AS start, node FROM n UNION SELECT r.start, reads.dst FROM r JOIN reads ON r.node = reads.src) SELECT r.node, max(n.own) AS value FROM r JOIN n ON n.node = r.start GROUP BY 1")
+def reevaluated_tree(read):
+    return graphs.reevaluate(_part_tree(read), _part_edges(read), F.max, _greatest).select("node", "value")
+
+
+@query(f"WITH RECURSIVE {_READS}, r AS (SELECT DISTINCT src AS start, src AS node FROM e UNION SELECT r.start, reads.dst FROM r JOIN reads ON r.node = reads.src) SELECT start, count(*) AS size FROM r GROUP BY 1")
+def perturbed_and_restored(read):
+    """Each part that others depend on gets a value above all others: what reads it, directly or not, changes once."""
+    nodes, edges = _part_tree(read), _part_edges(read)
+    state = graphs.reevaluate(nodes, edges, F.max, _greatest)
+    renamed = edges.select(F.col("src").alias("node")).distinct().select("node", (F.col("node") + 5000).alias("own"))
+    return graphs.perturb(state, renamed, nodes, edges, F.max, _greatest)
+
+
 # --- Spark's own SQL -------------------------------------------------------------------------------------------------
 @query("SELECT l_returnflag, l_linestatus, CAST(grouping(l_linestatus) AS INTEGER) AS level, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def rollup_lines(read):

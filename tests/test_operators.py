@@ -345,3 +345,27 @@ def test_prefixes_and_medians(spark):
     got = {r["k"]: r["median"] for r in ordered.statistics(xs, ["k"], "x").collect()}
     assert got["a"] == 2.0 and got["c"] == 4.0
     assert ordered.statistics(xs, [], "x").collect()[0]["median"] == 3.0
+
+
+def test_reevaluation_as_a_worklist(spark):
+    """A rule that isn't monotone in one step: texts are put together from own, children and sources."""
+    tree = {1: (None, "a"), 2: (1, "b"), 3: (1, "c"), 4: (2, "d"), 5: (2, "e"), 6: (3, "f")}
+    edges = [(4, 6), (5, 3), (6, 3)]
+    nodes = spark.createDataFrame([(i, p, o) for i, (p, o) in tree.items()], "node long, parent long, own string")
+    e = spark.createDataFrame(edges, "src long, dst long")
+    rule = lambda own, met: F.concat(own, F.coalesce(met, F.lit("")))
+
+    def settled(owns):
+        value = {}
+        for _ in range(10):
+            value = {i: owns[i] + max([v for j, v in value.items() if tree[j][0] == i or (j, i) in edges], default="") for i in tree}
+        return value
+
+    state = graphs.reevaluate(nodes, e, F.max, rule)
+    owns = {i: o for i, (_, o) in tree.items()}
+    assert {r["node"]: r["value"] for r in state.collect()} == settled(owns)
+    assert all(1 <= r["version"] <= r["temperature"] for r in state.collect())
+    sizes = {r["start"]: r["size"] for r in graphs.perturb(state, spark.createDataFrame([(4, "z"), (1, "y"), (3, "c")], "node long, own string"), nodes, e, F.max, rule).collect()}
+    changed = lambda k, o: sum(a != b for a, b in zip(settled(owns | {k: o}).values(), settled(owns).values()))
+    assert sizes == {4: changed(4, "z"), 1: changed(1, "y"), 3: 1}  # a name put back as it was is one change, its own
+    assert {r["node"]: r["value"] for r in state.collect()} == settled(owns)
