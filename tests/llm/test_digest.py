@@ -1,10 +1,13 @@
 import hashlib
 import math
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import digest
+from lattica.llm.queries import ORACLE_SQL
 
 
 def test_counts_as_brute_force(texts):
@@ -92,3 +95,11 @@ def test_few_rows(spark, empty):
     one = spark.createDataFrame([(5, "abc" * 40)], "doc_id long, text string")
     row = digest.compare_next(one).collect()[0]
     assert row["near_next"] == row["near_edited"] == 1.0
+
+
+def test_sql_says_the_same(spark, texts):
+    rows = [(i * 7, t) for i, t in enumerate(texts)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841  the SQL's table
+    found = duckdb.sql(ORACLE_SQL["op10_quartile_digest"])
+    got = digest.compare_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select(*found.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())

@@ -1,12 +1,15 @@
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from lattica.llm import simhash
 from lattica.llm.components import components
+from lattica.llm.queries import ORACLE_SQL
 
 
 def one(text):
@@ -116,3 +119,11 @@ def test_components_with_hubs(spark, monkeypatch, hubs):
     edges = [(5, i) for i in range(6, 60)] + [(60, i) for i in range(30, 90)] + [(200, 201), (201, 202)] + [(100 + i, 101 + i) for i in range(9)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 5 for i in range(6, 90)} | {201: 200, 202: 200} | {101 + i: 100 for i in range(9)}
+
+
+def test_sql_says_the_same(texts):
+    own = [*texts, *("x" * n for n in (1, 3, 4, 7, 8, 12, 31, 32, 33, 64, 71)), "a b", "A b", "Ünï cödé wörds"]
+    documents = pd.DataFrame({"doc_id": range(len(own)), "text": own})  # noqa: F841  the SQL's table
+    prints = [one(t) for t in own]
+    want = [(i, f"{p:016x}", g) for i, (p, g) in enumerate(zip(prints, groups(prints)))]
+    assert sorted(duckdb.sql(ORACLE_SQL["op2_simhash_trie"]).fetchall()) == want
