@@ -193,7 +193,7 @@ def parse(source: str) -> tuple[list[Block], list[Node]]:
             if m[0] == ">":
                 return m.start()
             at = m.end()
-            if source[start : m.start()][-8:].rstrip().endswith("="):  # a quote opens a value only there
+            if source[max(start, m.start() - 8) : m.start()].rstrip().endswith("="):  # a quote opens a value only there
                 at = source.find(m[0], at) + 1
                 if not at:
                     break
