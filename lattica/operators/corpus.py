@@ -519,7 +519,7 @@ def splice(parts: DataFrame, key: str) -> DataFrame:
 
 
 # --- rewriting and matching ------------------------------------------------------------------------------------------
-#: Forms that a stored template tends to get wrong: they are left to the rewriter.
+#: Forms that a stored template tends to get wrong: they are left to the rewriter. Where a chunk goes depends on them. The list is a part of what the survey names.
 FRAGILE = (
     r"\bgo\s+func\b", r"\bselect\s*\{", r"\bdefer\b", r"<-",
     r"\w+(\s*\[[^\[\]]+\])?\s*,\s*\w+(\s*\[[^\[\]]+\])?\s*=\s*\w+(\s*\[[^\[\]]+\])?\s*,\s*\w+",  # swaps
