@@ -362,7 +362,7 @@ def _judge(batch: pa.RecordBatch) -> pa.RecordBatch:
     def put(row: dict, side: str, leaves: list[bytes], i: int, status: str) -> None:
         offsets, page = row[f"offsets_{side}"], row[f"ids_{side}"][i]
         end = offsets[i + 1] if i + 1 < len(offsets) else row[f"size_{side}"]
-        page_id = int(page) if page is not None and re.fullmatch(r"-?[0-9]{1,18}", page) else None
+        page_id = int(page) if page is not None and re.fullmatch(r"-?[0-9]{1,19}", page) and -(1 << 63) <= int(page) < 1 << 63 else None
         for col, value in zip(cols, (page_id, row["file"], i, offsets[i], end - offsets[i], leaves[i].hex(), status)):
             col.append(value)
 

@@ -147,9 +147,9 @@ def test_files_end_by_bytes(spark, tmp_path, monkeypatch):
 
 
 def test_very_long_page_and_clashing_columns(spark):
-    rows = [(1, "u", "long " * 400_000, "c"), (97, "u", "y" * 1_500_000, "c"), (2, "u", "", "c")]
+    rows = [(1, "u", "long " * 400_000, "c"), (97, "u", "y" * 1_500_000, "c"), (2, "u", "", "c"), ((1 << 63) - 1, "u", "the largest id", "c")]
     got = warc.fixity_drill(spark.createDataFrame(rows, "page_id long, url string, html string, file string")).collect()
-    assert sorted((r["page_id"], r["status"]) for r in got) == [(1, "ok"), (2, "ok"), (97, "corrupt")]
+    assert sorted((r["page_id"], r["status"]) for r in got) == [(1, "ok"), (2, "ok"), (97, "corrupt"), ((1 << 63) - 1, "ok")]
 
 
 def test_drill(spark, pages):
