@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lattica.tables import ready
+from lattica.tables import materialize, ready, shuffles_dropped
 
 SKIPPED = ("build", "target", "node_modules")
 
@@ -31,14 +31,18 @@ def read_project(spark: SparkSession, path: str, glob: str = "*.kt") -> DataFram
 def read_pairs(spark: SparkSession, path: str, source: str = "source", target: str = "target") -> DataFrame:
     """path, line_no (from 0, in its file), source, target of JSON lines; blank lines, # lines, broken ones and those without both sides are skipped.
 
-    A file of pairs is read whole, so that its lines have numbers.
+    Files are read line by line and split like any other. A line's number is its place in its split after the lines of the splits
+    before; what was read is written first, since a second read may cut the splits elsewhere.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    kept = lines.where(~F.col("value").rlike(r"^\s*(#|$)"))
-    rows = kept.withColumn("p", F.from_json("value", f"`{source}` string, `{target}` string"))
-    own = rows.select("path", "line_no", F.col("p")[source].alias(source), F.col("p")[target].alias(target))
-    return own.where((F.trim(source) != "") & (F.trim(target) != ""))
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__at"), "value")
+    parsed = F.when(~F.col("value").rlike(r"^\s*(#|$)"), F.from_json("value", f"`{source}` string, `{target}` string"))
+    rows = lines.withColumn("p", parsed)
+    rows = materialize(rows.select("path", "__split", "__at", F.col("p")[source].alias(source), F.col("p")[target].alias(target)), "lines")
+    splits = rows.groupBy("path", "__split").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("path").orderBy("__split")) - F.col("__n")
+    splits = materialize(splits.select("path", "__split", (before - F.col("__first")).alias("__shift")), "splits")
+    own = rows.where((F.trim(source) != "") & (F.trim(target) != "")).join(splits, ["path", "__split"])
+    return own.select("path", (F.col("__at") + F.col("__shift")).alias("line_no"), source, target)
 
 
 def read_program_pairs(spark: SparkSession, path: str, cut: Callable[[str], list[str]], source: str = "source", target: str = "target") -> DataFrame:
@@ -76,8 +80,9 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
     replace_atomically(df.sparkSession, path, df.select(F.col(column).cast("string")).write.text)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    replace_atomically(df.sparkSession, path, df.write.json)
+def write_json(df: DataFrame, path: str, compression: str = "none") -> None:
+    with shuffles_dropped(df.sparkSession):
+        replace_atomically(df.sparkSession, path, df.write.option("compression", compression).json)
 
 
 def for_each(df: DataFrame, ordinal: str, act: Callable[[int, list], None], rows: int = 10_000) -> int:

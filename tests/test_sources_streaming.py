@@ -3,6 +3,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.operators import corpus
 from lattica.sources import files
@@ -29,6 +30,22 @@ def test_pairs(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("x", 0, "a", "A"), ("x", 1, "b", "B")]
 
 
+def test_pairs_of_split_files(spark, tmp_path):
+    """A file goes to several tasks, none of which holds it whole; its lines keep their numbers."""
+    for name, end in (("a", "\n"), ("b", "\r\n")):
+        lines = [("# no" if i % 11 == 0 else "" if i % 7 == 0 else json.dumps({"source": f"{name}{i}\u2028\x85", "target": "t" * (i % 13 * 20)}, ensure_ascii=False)) for i in range(200)]
+        (tmp_path / f"{name}.jsonl").write_bytes(end.join(lines).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = files.read_pairs(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    kept = [i for i in range(200) if i % 11 and i % 7 and i % 13]
+    assert sorted((r["path"][-7], r["line_no"], r["source"], len(r["target"])) for r in got) == [(name, i, f"{name}{i}\u2028\x85", i % 13 * 20) for name in "ab" for i in kept]
+    assert len({r["task"] for r in got}) > 2
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(i, [float(i), 1.0], f"t{i}") for i in range(10)], "id long, v array<float>, t string").repartition(2)
     files.write_text(df, "t", str(tmp_path / "text"))
